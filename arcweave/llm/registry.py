@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.llm.chat_format import digest_chat, format_chat, text_part
+from arcweave.llm.license_scan import scan_licenses
 from arcweave.llm.mixing import mix_report
 from arcweave.llm.packing import pack
+from arcweave.llm.quality_rules import judge
 from arcweave.llm.sharding import assign_shards
 from arcweave.llm.simhash import simhash_report
 from arcweave.llm.substring_dedup import substring_dedup
@@ -81,3 +83,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
