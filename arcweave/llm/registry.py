@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from arcweave.llm.chat_format import digest_chat, format_chat, text_part
 from arcweave.llm.license_scan import scan_licenses
+from arcweave.llm.minhash import near_duplicate_classes
 from arcweave.llm.mixing import mix_report
 from arcweave.llm.packing import pack
 from arcweave.llm.quality_rules import judge
 from arcweave.llm.sharding import assign_shards
 from arcweave.llm.simhash import simhash_report
 from arcweave.llm.substring_dedup import substring_dedup
+from arcweave.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +95,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
