@@ -12,8 +12,8 @@ a document with a smaller id. The steps:
    combined before it is shuffled and never meets in one task as a group.
 3. Extension both ways. Around each surviving anchor every window that it seeds
    is a way to extend the anchor by i words to the left and the rest to the
-   right. The windows carry (anchor hash, window hash) - 128 bits - and the
-   smallest document id of each is again a partial aggregate. Windows with an
+   right. The windows carry a 64-bit window hash and 16 bits of the anchor, and
+   the smallest document id of each is again a partial aggregate. Windows with an
    earlier document survive.
 4. Maximal repeats. Surviving windows of a document that touch or overlap merge
    into spans: those are the maximal repeats of at least ``length`` words.
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,8 @@ def anchors_of(w: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _emit_anchors(length: int, seed: int):
+    """Columns in: doc, text, th. Out: one row per anchor; ``tag`` is the low half word of th."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, th = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
@@ -71,21 +74,23 @@ def _emit_anchors(length: int, seed: int):
                     continue
                 a = anchor[np.r_[True, anchor[1:] != anchor[:-1]]]
                 t = text[a]
+                h = th[lo:hi][t]
                 yield pa.record_batch(
-                    [pa.array(signed(g[a])), pa.array(ids[lo:hi][t]), pa.array(th[lo:hi][t]), pa.array((a - w.first[t]).astype(np.int32))],
-                    names=["anchor", "doc", "th", "pos"],
+                    [pa.array(signed(g[a])), pa.array(ids[lo:hi][t]), pa.array(h), pa.array(h.astype(np.int16)), pa.array((a - w.first[t]).astype(np.int32))],
+                    names=["anchor", "doc", "th", "tag", "pos"],
                 )
 
     return run
 
 
 def _emit_windows(length: int, seed: int):
+    """Columns in: doc, tag, z, pos. Out: the windows of the shared anchors, keyed by window hash and 16 bits of the anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            th = b.column(2).to_numpy(zero_copy_only=False)
+            ids, tag = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             shared = b.column(3)
-            for lo, hi, data, offs in slices(b.column(1)):
+            for lo, hi, data, offs in slices(unpack(b.column(2))):
                 w = Words(data, offs)
                 at, anchor, g, text = anchors_of(w, length, seed)
                 if not len(at):
@@ -102,13 +107,29 @@ def _emit_windows(length: int, seed: int):
                 t = text[at]
                 full = grams(w.hashes, length, salt=1)
                 yield pa.record_batch(
-                    [pa.array(signed(g[anchor])), pa.array(signed(full[at])), pa.array(ids[lo:hi][t]), pa.array(th[lo:hi][t]), pa.array((at - w.first[t]).astype(np.int32))],
-                    names=["anchor", "win", "doc", "th", "start"],
+                    [pa.array(signed(full[at])), pa.array(signed(g[anchor]).astype(np.int16)), pa.array(ids[lo:hi][t]), pa.array(tag[lo:hi][t]), pa.array((at - w.first[t]).astype(np.int32))],
+                    names=["win", "seed", "doc", "tag", "start"],
                 )
 
     return run
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the text column for the one shuffle that moves whole texts; the other columns pass."""
+    c = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        for lo in range(0, b.num_rows, 512):
+            part = b.slice(lo, 512)
+            z = [None if x is None else c.compress(x.encode()) for x in part.column("text").to_pylist()]
+            cols = [pa.array(z, pa.binary()) if n == "text" else part.column(i) for i, n in enumerate(part.schema.names)]
+            yield pa.record_batch(cols, names=["z" if n == "text" else n for n in part.schema.names])
+
+
+def unpack(z: pa.Array) -> pa.Array:
+    d = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else d.decompress(x) for x in z.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 def removed_mask(n: int, starts, length: int) -> np.ndarray:
     """Words covered by windows at the given starts."""
     d = np.zeros(n + 1, np.int32)
@@ -124,59 +145,87 @@ def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _emit_kept(length: int, with_text: bool):
-    """Columns in: id, text, is_copy, starts. Out: n_words, n_removed, digest, spans[, text]."""
+    """Columns in: z, is_copy, starts and others that pass. Out: n_words, n_removed, digest, spans[, text]."""
+    own = ("z", "is_copy", "starts")
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def one(raw: bytes, copy: bool, starts) -> tuple:
+        words = raw.split()
+        n = len(words)
+        if copy and n >= length:
+            mask, kept = np.ones(n, bool), []
+        elif starts is not None and len(starts):
+            mask = removed_mask(n, starts, length)
+            kept = [words[k] for k in np.flatnonzero(~mask)]
+        else:
+            mask, kept = None, words
+        joined = b" ".join(kept)
+        spans = [] if mask is None else [{"start": a, "end": z} for a, z in _spans(mask)]
+        return n, n - len(kept), hashlib.sha256(joined).hexdigest(), spans, (raw if mask is None else joined).decode() if with_text else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
         for b in batches:
-            texts, copy, starts = b.column("text"), b.column("is_copy"), b.column("starts")
-            rest = [(i, n) for i, n in enumerate(b.schema.names) if n not in ("text", "is_copy", "starts")]
-            step = 256
-            for lo in range(0, b.num_rows, step):
-                n_words, n_removed, sha, spans, kept_text = [], [], [], [], []
-                part = slice(lo, min(lo + step, b.num_rows))
-                for i in range(part.start, part.stop):
-                    raw = texts[i].as_py()
-                    words = (raw or "").encode().split()
-                    n = len(words)
-                    if copy[i].as_py() and n >= length:
-                        mask, kept = np.ones(n, bool), []
-                    elif (s := starts[i]).is_valid and len(s):
-                        mask = removed_mask(n, s.values.to_numpy(zero_copy_only=False), length)
-                        kept = [words[k] for k in np.flatnonzero(~mask)]
-                    else:
-                        mask, kept = None, words
-                    joined = b" ".join(kept)
-                    n_words.append(n)
-                    n_removed.append(n - len(kept))
-                    sha.append(hashlib.sha256(joined).hexdigest())
-                    spans.append([] if mask is None else [{"start": a, "end": z} for a, z in _spans(mask)])
-                    if with_text:
-                        kept_text.append(raw if mask is None else joined.decode())
-                cols = [b.column(i).slice(part.start, part.stop - part.start) for i, _ in rest]
-                names = [n for _, n in rest]
-                cols += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-                names += ["n_words", "n_removed", "kept_sha256", "spans"]
+            rest = [n for n in b.schema.names if n not in own]
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                z, copy, starts = (part.column(n) for n in own)
+                done = [
+                    one(d.decompress(z[i].as_py()) if z[i].is_valid else b"", copy[i].as_py(), starts[i].values.to_numpy(zero_copy_only=False) if starts[i].is_valid else None)
+                    for i in range(part.num_rows)
+                ]
+                made = list(zip(*done, strict=True))
+                cols = [part.column(n) for n in rest] + [pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.string()), pa.array(made[3], span)]
+                names = [*rest, "n_words", "n_removed", "kept_sha256", "spans"]
                 if with_text:
-                    cols.append(pa.array(kept_text, pa.string()))
+                    text = [t if z[i].is_valid else None for i, t in enumerate(made[4])]
+                    cols.append(pa.array(text, pa.string()))
                     names.append("text")
                 yield pa.record_batch(cols, names=names)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc, th, starts): starts of the windows that an earlier, different text also holds. docs(doc, text, th)."""
-    src = docs.where("doc is not null")
-    occurrences = src.select("doc", "text", "th").mapInArrow(_emit_anchors(length, seed), "anchor long, doc long, th long, pos int")
-    shared = occurrences.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select(F.col("anchor").alias("a"))
-    seeds = occurrences.join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("a")).groupBy("doc", "th").agg(F.collect_list("pos").alias("pos"))
-    seeds = materialize(seeds.select(F.col("doc").alias("d"), F.col("th").alias("t"), "pos"), "seeds")
-    windows = src.join(seeds, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "text", "th", "pos").mapInArrow(
-        _emit_windows(length, seed), "anchor long, win long, doc long, th long, start int"
-    )
-    first = windows.groupBy("anchor", "win").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.col("anchor").alias("a"), F.col("win").alias("w"), "lo")
-    hits = windows.join(first.hint("shuffle_hash"), (F.col("anchor") == F.col("a")) & (F.col("win") == F.col("w"))).where("lo < doc")
-    return hits.groupBy("doc", "th").agg(F.collect_list("start").alias("starts"))
+def _schema(df: DataFrame, drop: tuple[str, ...]) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name not in drop)
+
+
+def later_copies(base: DataFrame) -> DataFrame:
+    """(cd, ct): id and tag of the rows whose text a smaller id has as a whole."""
+    digests = base.where("doc is not null and text is not null").select(F.sha2("text", 256).alias("sha"), "doc", "tag")
+    firsts = digests.groupBy("sha").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.col("sha").alias("s"), "lo")
+    copies = digests.join(firsts, F.col("sha") == F.col("s")).where("doc > lo")
+    return materialize(copies.select(F.col("doc").alias("cd"), F.col("tag").alias("ct")).distinct(), "copies")
+
+
+def shared_seeds(base: DataFrame, copies: DataFrame, length: int, seed: int) -> DataFrame:
+    """(sd, st, pos): per document the places of the anchors that a different text shares; later copies are left out."""
+    found = base.where("doc is not null").select("doc", "text", "th").mapInArrow(_emit_anchors(length, seed), "anchor long, doc long, th long, tag short, pos int")
+    shared = found.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select(F.col("anchor").alias("a"))
+    seeds = found.drop("th").join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("a")).groupBy("doc", "tag").agg(F.collect_set("pos").alias("pos"))
+    seeds = seeds.join(copies, (F.col("doc") == F.col("cd")) & (F.col("tag") == F.col("ct")), "left_anti")
+    return materialize(seeds.select(F.col("doc").alias("sd"), F.col("tag").alias("st"), "pos"), "seeds")
+
+
+def keep_unrepeated(base: DataFrame, length: int, seed: int, with_text: bool) -> DataFrame:
+    """base(doc, text, ...): the other columns pass through."""
+    base = base.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    tag = F.when(F.col("th").bitwiseAND(F.lit(0xFFFF)) >= 0x8000, F.col("th").bitwiseAND(F.lit(0xFFFF)) - 0x10000).otherwise(F.col("th").bitwiseAND(F.lit(0xFFFF))).cast("short")
+    base = base.withColumn("tag", tag)
+    copies = later_copies(base)
+    seeds = shared_seeds(base, copies, length, seed)
+    flat = base.drop("th")
+    packed = flat.mapInArrow(_pack_texts, ", ".join(f"`{f.name if f.name != 'text' else 'z'}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in flat.schema))
+    windows = packed.select("doc", "tag", "z").join(seeds, (F.col("doc") == F.col("sd")) & (F.col("tag") == F.col("st"))).select("doc", "tag", "z", "pos")
+    windows = windows.mapInArrow(_emit_windows(length, seed), "win long, seed short, doc long, tag short, start int")
+    first = windows.groupBy("win", "seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.col("win").alias("w"), F.col("seed").alias("s"), "lo")
+    hits = windows.join(first.hint("shuffle_hash"), (F.col("win") == F.col("w")) & (F.col("seed") == F.col("s"))).where("lo < doc")
+    hits = hits.groupBy(F.col("doc").alias("hd"), F.col("tag").alias("ht")).agg(F.collect_set("start").alias("starts"))
+    joined = packed.join(hits, (F.col("doc") == F.col("hd")) & (F.col("tag") == F.col("ht")), "left").join(copies, (F.col("doc") == F.col("cd")) & (F.col("tag") == F.col("ct")), "left")
+    rest = [c for c in base.columns if c not in ("text", "th", "tag")]
+    shape = joined.select(*rest, "z", F.col("cd").isNotNull().alias("is_copy"), "starts")
+    schema = _schema(shape, ("z", "is_copy", "starts")) + "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + (", text string" if with_text else "")
+    return shape.mapInArrow(_emit_kept(length, with_text), schema)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
@@ -187,19 +236,3 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     out = keep_unrepeated(base, length, seed, with_text)
     return out.withColumnRenamed("doc", id_col)
-
-
-def keep_unrepeated(base: DataFrame, length: int, seed: int, with_text: bool) -> DataFrame:
-    """base(doc, text, ...): the other columns pass through."""
-    base = base.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    starts = repeated_windows(base, length, seed)
-    digests = base.where("doc is not null and text is not null").select(F.sha2("text", 256).alias("sha"), "doc", "th")
-    firsts = digests.groupBy("sha").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.col("sha").alias("s"), "lo")
-    copies = digests.join(firsts, F.col("sha") == F.col("s")).where("doc > lo").select(F.col("doc").alias("cd"), F.col("th").alias("ct")).distinct().withColumn("is_copy", F.lit(True))
-    starts = starts.select(F.col("doc").alias("sd"), F.col("th").alias("st"), "starts")
-    joined = base.join(starts, (F.col("doc") == F.col("sd")) & (F.col("th") == F.col("st")), "left").join(copies, (F.col("doc") == F.col("cd")) & (F.col("th") == F.col("ct")), "left")
-    rest = [c for c in base.columns if c not in ("text", "th")]
-    shape = joined.select(*rest, "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "starts")
-    passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema if f.name in rest)
-    schema = f"{passed}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + (", text string" if with_text else "")
-    return shape.mapInArrow(_emit_kept(length, with_text), schema)

@@ -5,7 +5,7 @@ Training (labelled rows only; the caller chooses which):
 1. A sample of at most ``MAX_FIT`` labelled rows per class, the smallest by a
    hash of the id, is joined to the texts. The bound is a parameter: the sample
    is broadcast, its texts are read where they lie.
-2. Hashed n-grams of 3 to 6 characters (case folded for ASCII) are counted by
+2. Hashed n-grams of 4, 5, 6 and 8 characters (case folded for ASCII) are counted by
    document and class. The log-count ratio of a feature is
    r = log((p + a) / |p|) - log((q + a) / |q|) with p, q its document counts.
 3. The ``FEATURES`` features with the largest evidence |r| * sqrt(count) stay. Each
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from arcweave.llm.textvec import U64, mix, slices
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (4, 5, 6, 8)
 BITS = 20
-MAX_FIT, FEATURES = 5000, 6000
-ALPHA, RIDGE = 1.0, 2e-3
+MAX_FIT, FEATURES = 5000, 3000
+ALPHA, RIDGE = 1.0, 1e-2
 THRESHOLD = 0.7
 
 _FOLD = np.arange(256, dtype=np.uint8)
