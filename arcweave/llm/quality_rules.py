@@ -74,13 +74,13 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """(doc, stratum, base counts, rule scores), one row per input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(stratum_col).cast("string").alias("stratum"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("words", words_of(F.col("text")))
+    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("words", words_of(F.col("text")))
     bare = lambda c: F.trim(c, F.lit(_SEPARATORS))
     lines = F.filter(F.split("text", "\n"), lambda s: bare(s) != "")
     long = F.char_length("text")
     without = lambda chars: F.char_length(F.translate(F.col("text"), chars, ""))
     rows = rows.select(
-        "doc", "stratum",
+        "doc", "th", "stratum",
         F.size("words").cast("long").alias("n_words"),
         without(_SEPARATORS).cast("long").alias("word_chars"),
         (long - without(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -92,7 +92,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
     n = F.col("n_words")
     return rows.select(
-        "doc", "stratum", "n_words", "word_chars", "n_symbols", F.col("lines.d").cast("long").alias("n_dup_lines"), "n_repeat_words",
+        "doc", "th", "stratum", "n_words", "word_chars", "n_symbols", F.col("lines.d").cast("long").alias("n_dup_lines"), "n_repeat_words",
         ((n < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * n)).alias("base_failed"),
         share(F.col("n_symbols"), F.col("word_chars")).alias("symbols"),
         share(F.col("caps"), F.col("word_chars")).alias("capitals"),
@@ -149,8 +149,8 @@ def certified_cutoffs(scored: DataFrame, grids: dict[str, list[float]] | None =
     return ok.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select("stratum", "rule", "cutoff", "n_good", "k_good", "k_bad")
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """Base counts, base_failed, kept, and the number of cutoffs exceeded, one row per input row."""
+def verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, label_col: str) -> DataFrame:
+    """features() with kept and rules_exceeded, one row per input row."""
     rules = list(GRIDS)
     scored = materialize(features(docs, id_col, text_col, stratum_col), "quality")
     marks = labels.select(F.col(id_col).cast("long").alias("lid"), (F.col(label_col) == 1).alias("good")).where("lid is not null and good is not null")
@@ -158,8 +158,20 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     cutoffs = certified_cutoffs(held).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules])
     cutoffs = materialize(cutoffs.withColumnRenamed("stratum", "cs"), "cutoffs")
     joined = scored.join(cutoffs, F.col("stratum").eqNullSafe(F.col("cs")), "left")
-    over = sum((F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)).cast("int") for r in rules[1:]), F.coalesce(F.col(rules[0]) > F.col(f"cut_{rules[0]}"), F.lit(False)).cast("int"))
-    return joined.select(
-        F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        ((~F.col("base_failed")) & (over == 0)).alias("kept"), over.alias("rules_exceeded"),
-    )
+    over = F.lit(0)
+    for r in rules:
+        over = over + F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)).cast("int")
+    return joined.withColumn("rules_exceeded", over).withColumn("kept", (~F.col("base_failed")) & (F.col("rules_exceeded") == 0))
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
+    """Base counts, base_failed, kept, and the number of cutoffs exceeded, one row per input row."""
+    out = verdicts(docs, labels, id_col, text_col, stratum_col, label_col)
+    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rules_exceeded")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    gone = verdicts(docs, labels, id_col, text_col, stratum_col, label_col).where("not kept").select(F.col("doc").alias("__d"), F.col("th").alias("__t")).distinct()
+    th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(materialize(gone, "rejected"), F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (th == F.col("__t")), "left_anti")

@@ -236,3 +236,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     out = keep_unrepeated(base, length, seed, with_text)
     return out.withColumnRenamed("doc", id_col)
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """``docs`` with the repeats cut from the text and the length column, if any, brought up to date."""
+    names = [c for c in docs.columns if c not in (id_col, text_col)]
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)])
+    out = keep_unrepeated(base, length, seed, True)
+    held = {c: F.col(f"__c{i}") for i, c in enumerate(names)} | {id_col: F.col("doc"), text_col: F.col("text")}
+    if chars_col in names:
+        held[chars_col] = F.when(F.col("text").isNull(), held[chars_col]).otherwise(F.char_length("text")).cast(docs.schema[chars_col].dataType)
+    return out.select(*[held[c].alias(c) for c in docs.columns])
