@@ -51,3 +51,49 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_r
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
+
+
+def connected_components(graph, edges: DataFrame | None = None) -> DataFrame:
+    """(node, comp) of all nodes of the undirected view; an isolated node is its own component."""
+    found = component_labels(edges if edges is not None else graph.edges).select(F.col("node").alias("n"), "comp")
+    return graph.nodes.join(found, F.col("node") == F.col("n"), "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
+def labels_as_edges(labels: DataFrame) -> DataFrame:
+    """A labelling as edges to the labels: merging labellings is hooking them."""
+    return labels.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
+
+
+def merge_components(graph, labels: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """Labels after late edges: old labels enter as edges beside the new ones."""
+    return connected_components(graph, labels_as_edges(labels).unionByName(new_edges.select("src", "dst")))
+
+
+def hook(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """One hooking step: each label takes the smallest label across an edge (only ever downwards)."""
+    lab = labels.select(F.col("node").alias("n"), F.col("comp").alias("c"))
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    seen = both.join(lab, F.col("dst") == F.col("n")).groupBy("src").agg(F.min("c").alias("low"))
+    return labels.join(seen, F.col("node") == F.col("src"), "left").select("node", F.least("comp", F.coalesce("low", "comp")).alias("comp"))
+
+
+def jump(labels: DataFrame) -> DataFrame:
+    """One pointer jump: every label becomes its label's label."""
+    up = labels.select(F.col("node").alias("n"), F.col("comp").alias("c"))
+    return labels.join(up, F.col("comp") == F.col("n")).select("node", F.col("c").alias("comp"))
+
+
+def component_sizes(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+
+
+def component_count(labels: DataFrame) -> DataFrame:
+    return labels.agg(F.count_if(F.col("node") == F.col("comp")).alias("components"))
+
+
+def star_violations(labels: DataFrame) -> DataFrame:
+    """One row: labels that are not their own label (deep), and labels above their node (upward)."""
+    up = labels.select(F.col("node").alias("n"), F.col("comp").alias("c"))
+    return labels.join(up, F.col("comp") == F.col("n"), "left").agg(
+        F.count_if(F.coalesce(F.col("c") != F.col("comp"), F.lit(True))).alias("deep"), F.count_if(F.col("comp") > F.col("node")).alias("upward")
+    )
