@@ -14,7 +14,13 @@
    text of each of its buckets (partial minimum, so a bucket of any size costs
    one pair a member), and pairs are verified by their true weighted Jaccard
    similarity. Buckets that still hold texts of several classes are then searched
-   in full across classes, so a link that the star missed is found.
+   across classes, so a link that the star missed is found. That search does not
+   form all pairs: shingles that no other text of these buckets has bound the
+   similarity. With W the weight of a text and U that of its own shingles,
+   J(a, b) <= min(Wa - Ua, Wb - Ub) / max(Wa + Ub, Wb + Ua); so two texts that
+   both have U > W (1 - t) / (1 + t) never reach t, and a pair needs one text
+   below that share. Edited copies of one text have many shingles of their own
+   and are settled by the bound.
 4. Links become classes by star contraction. Equal texts are settled first by a
    digest: only the smallest id of each text takes part.
 
@@ -186,7 +192,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(k: int, bands: int, rows: int, table):
-    """Columns in: doc, text. Out: doc, 128-bit digest of the text, band keys (none for texts without words)."""
+    """Columns in: doc, text. Out: doc, 128-bit digest of the text, weight of its shingles, band keys (none for texts without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = table.value
@@ -198,14 +204,17 @@ def _sign(k: int, bands: int, rows: int, table):
                 d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 count = np.zeros(hi - lo, np.int64)
                 keys = np.zeros((0, bands), U64)
+                total = np.zeros(hi - lo)
                 if len(h):
                     starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                    keys = band_keys(samples(h, tf * idf_of(h, idf), starts, bands * rows), bands, rows)
+                    weight = tf * idf_of(h, idf)
+                    keys = band_keys(samples(h, weight, starts, bands * rows), bands, rows)
                     count[text[starts]] = bands
+                    total = np.bincount(text, weight, minlength=hi - lo)
                 offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
                 yield pa.record_batch(
-                    [b.column(0).slice(lo, hi - lo), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(signed(keys.reshape(-1))))],
-                    names=["doc", "d1", "d2", "bands"],
+                    [b.column(0).slice(lo, hi - lo), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(total), pa.ListArray.from_arrays(offsets, pa.array(signed(keys.reshape(-1))))],
+                    names=["doc", "d1", "d2", "weight", "bands"],
                 )
 
     return run
@@ -269,14 +278,53 @@ def star_pairs(keys: DataFrame) -> DataFrame:
     return keys.join(heads.hint("shuffle_hash"), F.col("key") == F.col("k")).where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def cross_pairs(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket and two classes that the star has not tested."""
+def unsettled(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, comp) in buckets of several classes, without the heads that the star has tested."""
     lab = labels.select(F.col("node").alias("n"), "comp")
     named = keys.join(lab, F.col("rep") == F.col("n"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("head")).where("lo < hi").select(F.col("key").alias("k"), "head")
-    left = materialize(named.join(mixed, F.col("key") == F.col("k")).where("rep <> head").select("key", "rep", "comp"), "mixed")
-    right = left.select(F.col("key").alias("k2"), F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-    return left.join(right, (F.col("key") == F.col("k2")) & (F.col("comp") < F.col("comp2"))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    return named.join(mixed.hint("shuffle_hash"), F.col("key") == F.col("k")).where("rep <> head").select("key", "rep", "comp")
+
+
+def _own_shingles(k: int, table):
+    """Columns in: doc, z. Out: a row per distinct shingle: 32 bits of its hash, doc, its weight in 64ths rounded down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, d = table.value, zstandard.ZstdDecompressor()
+        for b in batches:
+            texts = pa.array([d.decompress(x) for x in b.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offs in slices(texts):
+                text, h, tf = weighted_shingles(Words(data, offs), k)
+                if len(h):
+                    w = np.floor(tf * idf_of(h, idf) * 64)
+                    yield pa.record_batch([pa.array(signed(h).astype(np.int32)), pa.array(ids[lo:hi][text]), pa.array(w.astype(np.int32))], names=["h", "doc", "w"])
+
+    return run
+
+
+def own_weights(members: DataFrame, packed: DataFrame, k: int, table) -> DataFrame:
+    """(o, own): per text the weight of the shingles that no other member has; never too high."""
+    ids = members.select(F.col("rep").alias("r")).distinct()
+    rows = packed.join(ids, F.col("doc") == F.col("r")).select("doc", "z").mapInArrow(_own_shingles(k, table), "h int, doc long, w int")
+    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("w").alias("w")).where("n = 1")
+    return alone.groupBy(F.col("doc").alias("o")).agg((F.sum("w") / 64.0).alias("own"))
+
+
+def cross_pairs(members: DataFrame, weights: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and two classes that the bound does not rule out."""
+    known = weights.select(F.col("rep").alias("r"), "weight").join(own, F.col("r") == F.col("o"), "left").select("r", "weight", F.coalesce("own", F.lit(0.0)).alias("own"))
+    bounded = members.join(known, F.col("rep") == F.col("r")).where(F.col("weight") - F.col("own") >= F.lit(threshold - 1e-6) * F.col("weight")).select("key", "rep", "comp", "weight", "own")
+    bounded = materialize(bounded, "bounded")
+    still = bounded.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+    live = bounded.join(still.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "rep", "comp", "weight", "own")
+    clean = F.col("own") <= F.lit((1 - threshold) / (1 + threshold) + 1e-6) * F.col("weight")
+    x = live.where(clean).select(*[F.col(c).alias(f"x_{c}") for c in live.columns])
+    y = live.withColumn("clean", clean)
+    overlap = F.least(F.col("weight") - F.col("own"), F.col("x_weight") - F.col("x_own"))
+    union = F.greatest(F.col("weight") + F.col("x_own"), F.col("x_weight") + F.col("own"))
+    on = (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")) & (~F.col("clean") | (F.col("x_rep") < F.col("rep"))) & (overlap >= F.lit(threshold - 1e-6) * union)
+    return y.join(x, on).select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -286,13 +334,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     counters, n = document_frequencies(base.select("text"), k)
     table = spark.sparkContext.broadcast(idf_table(counters, n))
     live = base.where("doc is not null")
-    signed_ = materialize(live.mapInArrow(_sign(k, bands, rows, table), "doc long, d1 long, d2 long, bands array<long>"), "signatures")
-    texts = signed_.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"))
+    signed_ = materialize(live.mapInArrow(_sign(k, bands, rows, table), "doc long, d1 long, d2 long, weight double, bands array<long>"), "signatures")
+    texts = signed_.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")
     keys = texts.select("rep", F.explode("bands").alias("key"))
     star = materialize(verified(star_pairs(keys), live, k, threshold, table), "star")
     labels = materialize(component_labels(star, "a", "b"), "labels")
-    rest = materialize(verified(cross_pairs(keys, labels), live, k, threshold, table), "rest")
+    members = materialize(unsettled(keys, labels), "unsettled")
+    own = own_weights(members, live.mapInArrow(_pack, "doc long, z binary"), k, table)
+    rest = materialize(verified(cross_pairs(members, texts, own, threshold), live, k, threshold, table), "rest")
     links = star.unionByName(rest)
     if rest.isEmpty():
         final = labels
