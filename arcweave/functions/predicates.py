@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def add_constant(df: DataFrame, col: str, by) -> DataFrame:
 
 def keep_with_pandas(df: DataFrame, test: Callable, col: str = "value") -> DataFrame:
     """The slow path for a predicate that has no column form: ``test`` maps a pandas Series to booleans."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def ok(s: pd.Series) -> pd.Series:
         return pd.Series(test(s))
