@@ -139,9 +139,8 @@ def certified_cutoffs(scored: DataFrame, grids: dict[str, list[float]] | None =
         F.sum(F.when(F.col("above") > F.col("i"), F.col("good")).otherwise(0)).alias("k_good"),
         F.sum(F.when(F.col("above") > F.col("i"), F.col("bad")).otherwise(0)).alias("k_bad"),
     )
-    strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    table = table.join(F.broadcast(strata), F.lit(True))  # one row
-    limit = F.log(F.lit(delta) / (F.col("strata") * F.lit(sum(len(g) for g in grids.values()))))
+    strata = counts.select("stratum").distinct().count()
+    limit = F.lit(math.log(delta / (max(1, strata) * sum(len(g) for g in grids.values()))))
     sure = F.when(F.col("k_good") >= F.col("n_good") * F.lit(risk), F.lit(False)).otherwise(log_binomial_tail(F.col("k_good"), F.col("n_good"), risk) <= limit)
     gain = F.col("k_bad") - F.lit(cost) * F.col("k_good")
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("cutoff"))

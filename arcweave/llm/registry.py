@@ -12,7 +12,7 @@ from arcweave.llm.license_scan import scan_licenses
 from arcweave.llm.minhash import near_duplicate_classes
 from arcweave.llm.mixing import mix_report
 from arcweave.llm.packing import pack
-from arcweave.llm.quality_rules import judge
+from arcweave.llm.quality_rules import COST, DELTA, GRIDS, RISK, judge
 from arcweave.llm.sharding import assign_shards
 from arcweave.llm.simhash import simhash_report
 from arcweave.llm.substring_dedup import substring_dedup
@@ -33,7 +33,19 @@ def query(fn):
 
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLES["op1_substring_dedup"] = r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, s, array_to_string(ws[s:s + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as s from t)),
+seen as (select k, min(doc_id) as lo from win group by k),
+gone as (select distinct doc_id, unnest(range(s, s + 13)) as p from win join seen using (k) where lo < doc_id),
+word as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as p from t),
+kept as (select word.doc_id, string_agg(w, ' ' order by word.p) as x, count(*) as n from word anti join gone on gone.doc_id = word.doc_id and gone.p = word.p group by word.doc_id)
+select t.doc_id, len(ws) as n_words, len(ws) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.x, '')) as kept_sha256
+from t left join kept on kept.doc_id = t.doc_id
+"""
 
 
 @query
@@ -92,6 +104,48 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _quality_sql() -> str:
+    grid = ", ".join(f"('{r}', {i}, cast({c!r} as double))" for r, cuts in GRIDS.items() for i, c in enumerate(cuts))
+    score = lambda a, b: f"case when {b} > 0 then cast({a} as double) / {b} else cast(0 as double) end"
+    return rf"""
+with t as (
+  select row_number() over () as rid, doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+win as (select rid, s, array_to_string(ws[s:s + 7], ' ') as k from (select rid, ws, unnest(range(1, len(ws) - 6)) as s from t)),
+twice as (select rid, k from win group by rid, k having count(*) > 1),
+rep as (select rid, count(distinct p) as n from (select win.rid, unnest(range(s, s + 8)) as p from win join twice on twice.rid = win.rid and twice.k = win.k) group by rid),
+f as (
+  select t.rid, doc_id, lang, len(ws) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+         cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, len(ls) as n_lines,
+         coalesce(rep.n, 0) as n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) as caps, length(regexp_replace(text, '[^!?]', '', 'g')) as marks
+  from t left join rep on rep.rid = t.rid),
+b as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {score('n_symbols', 'word_chars')} as symbols, {score('caps', 'word_chars')} as capitals,
+         {score('n_dup_lines', 'n_lines')} as dup_lines, {score('n_repeat_words', 'n_words')} as repeats, {score('marks', 'n_words')} as exclaims from f),
+grid(rule, i, cutoff) as (values {grid}),
+scores as (
+  select rid, lang, rule, value from (select rid, lang, unnest(['symbols', 'capitals', 'dup_lines', 'repeats', 'exclaims']) as rule, unnest([symbols, capitals, dup_lines, repeats, exclaims]) as value from b)),
+held as (select b.rid, b.lang, l.quality = 1 as good from b join labels l on l.doc_id = b.doc_id where not base_failed and l.quality is not null),
+c as (
+  select h.lang, g.rule, g.i, g.cutoff, count(*) filter (where good) as n, count(*) filter (where good and s.value > g.cutoff) as k, count(*) filter (where not good and s.value > g.cutoff) as kb
+  from held h join scores s on s.rid = h.rid join grid g on g.rule = s.rule group by 1, 2, 3, 4),
+tail as (
+  select c.lang, c.rule, c.i, c.cutoff, c.kb - {COST} * c.k as gain,
+         (select sum(exp(lgamma(c.n + 1) - lgamma(j + 1) - lgamma(c.n - j + 1) + j * ln({RISK}) + (c.n - j) * ln(1 - {RISK}))) from (select unnest(range(0, c.k + 1)) as j)) as p
+  from c where c.k < c.n * {RISK} and c.kb > 0),
+best as (
+  select lang, rule, cutoff from tail
+  where p <= {DELTA} / ((select count(distinct coalesce(lang, '?')) from held) * (select count(*) from grid)) and gain > 0
+  qualify row_number() over (partition by lang, rule order by gain desc, cutoff desc) = 1),
+over as (select s.rid, count(*) as n from scores s join best on best.rule = s.rule and best.lang is not distinct from s.lang where s.value > best.cutoff group by s.rid)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(over.n, 0) = 0 as kept, cast(coalesce(over.n, 0) as integer) as rules_exceeded
+from b left join over on over.rid = b.rid
+"""
+
+
+ORACLES["op3_quality_rules"] = _quality_sql()
+
+
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
