@@ -31,26 +31,27 @@ def with_sequence(items: DataFrame, order: list[str], start: int = 0) -> DataFra
     return global_rank(items, order, "seq").withColumn("seq", F.col("seq") + start)
 
 
+def _edge(items: DataFrame, agg) -> int | None:
+    """The first or last sequence number: one number to the driver."""
+    return items.agg(agg("seq").alias("x")).first().x
+
+
 def append_sequenced(ring: DataFrame, items: DataFrame) -> DataFrame:
     """Items behind the last of the ring; both have seq."""
-    last = ring.agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("__next"))
-    first = items.agg(F.min("seq").alias("__first"))
-    moved = items.join(F.broadcast(last), F.lit(True)).join(F.broadcast(first), F.lit(True)).withColumn("seq", F.col("seq") - F.col("__first") + F.col("__next")).drop("__next", "__first")
-    return ring.unionByName(moved)
+    last, first = _edge(ring, F.max), _edge(items, F.min)
+    shift = (0 if last is None else last + 1) - (first or 0)
+    return ring.unionByName(items.withColumn("seq", F.col("seq") + shift))
 
 
 def prepend_sequenced(ring: DataFrame, items: DataFrame) -> DataFrame:
     """Items before the first of the ring: they get the sequence numbers below it."""
-    head = ring.agg(F.coalesce(F.min("seq"), F.lit(0)).alias("__head"))
-    last = items.agg(F.max("seq").alias("__last"))
-    moved = items.join(F.broadcast(head), F.lit(True)).join(F.broadcast(last), F.lit(True)).withColumn("seq", F.col("seq") - F.col("__last") + F.col("__head") - 1).drop("__head", "__last")
-    return moved.unionByName(ring)
+    head, last = _edge(ring, F.min), _edge(items, F.max)
+    return items.withColumn("seq", F.col("seq") + ((head or 0) - 1 - (last or 0))).unionByName(ring)
 
 
 def pop(ring: DataFrame, n: int) -> DataFrame:
     """The ring without its first n items."""
-    head = ring.agg(F.min("seq").alias("__head"))
-    return ring.join(F.broadcast(head), F.lit(True)).where(F.col("seq") >= F.col("__head") + n).drop("__head")
+    return ring.where(F.col("seq") >= (_edge(ring, F.min) or 0) + n)
 
 
 def first_items(ring: DataFrame, n: int) -> DataFrame:

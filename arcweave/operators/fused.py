@@ -62,7 +62,7 @@ def _relax(work: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
 def sssp_fused(graph: Graph, source: int = 0, parts: int = 64, max_rounds: int = 10_000) -> DataFrame:
     """(node, dist) as :func:`sssp` gives it."""
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("long")
-    edges = materialize(graph.weights().select(part(F.col("src")).alias("part"), "src", "dst", "weight", part(F.col("dst")).alias("to")), "fused")
+    edges = graph.weights().select(part(F.col("src")).alias("part"), "src", "dst", "weight", part(F.col("dst")).alias("to")).repartition("part").persist()
     frontier = graph.nodes.where(F.col("node") == clamp_source(graph, source)).select("node", F.lit(0).cast("long").alias("dist"))
     frontier = materialize(frontier, "fused")
     state = frontier
@@ -77,5 +77,6 @@ def sssp_fused(graph: Graph, source: int = 0, parts: int = 64, max_rounds: int =
         known = state.select(F.col("node").alias("n"), F.col("dist").alias("old"))
         frontier = materialize(cand.join(known, F.col("node") == F.col("n"), "left").where("old is null or dist < old").select("node", "dist"), "fused")
         state = materialize(state.unionByName(frontier).groupBy("node").agg(F.min("dist").alias("dist")), "fused")
+    edges.unpersist()
     r = state.select(F.col("node").alias("n"), "dist")
     return graph.nodes.join(r, F.col("node") == F.col("n"), "left").select("node", "dist")

@@ -32,7 +32,7 @@ def init_residual(graph: Graph, alpha: float = ALPHA) -> DataFrame:
 
 def pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, metrics: list | None = None) -> DataFrame:
     """(node, rank) of all nodes."""
-    edges = materialize(_out(graph).repartition("src"), "out")
+    edges = _out(graph).repartition("src").persist()
     state = materialize(init_residual(graph, alpha).select("node", F.lit(1 - alpha).alias("rank"), F.col("residual").alias("res"), F.lit(True).alias("act")), "pr")
     for i in range(max_iterations + 1):
         hot = state.where("act and res > 0").select(F.col("node").alias("n"), "res")
@@ -47,13 +47,14 @@ def pagerank(graph: Graph, alpha: float = ALPHA, epsilon: float = EPSILON, max_i
             metrics.append({"round": i + 1, "active": active})
         if not active:
             break
+    edges.unpersist()
     return state.select("node", "rank")
 
 
 def normalised(ranks: DataFrame) -> DataFrame:
     """(node, rank, rank_norm): rank over the sum of ranks."""
-    total = ranks.agg(F.sum("rank").alias("total"))
-    return ranks.join(F.broadcast(total), F.lit(True)).select("node", "rank", (F.col("rank") / F.col("total")).alias("rank_norm"))
+    total = ranks.agg(F.sum("rank").alias("total")).first().total or 1.0
+    return ranks.select("node", "rank", (F.col("rank") / F.lit(total)).alias("rank_norm"))
 
 
 def top_ranks(ranks: DataFrame, k: int = 10, for_output: bool = False) -> DataFrame:

@@ -3,7 +3,9 @@
 A round joins the frontier with the edges, combines candidates by destination
 (partial aggregate), joins them with the state and keeps improvements. Only the
 improvements are written, as one small table in the shared folder; the state is
-the set of these tables, merged every ``compact`` rounds. Writing is also the
+the set of these tables, merged every ``compact`` rounds. Edges are dealt by
+source once and persisted with their lineage (a lost block is dealt again from
+the source tables), so a round moves only its frontier. Writing is also the
 round's single action: its row count, read from file footers, ends the loop.
 """
 
@@ -60,6 +62,7 @@ def fixpoint(spec: FixpointSpec, edges: DataFrame, seed: DataFrame, stop: Stop |
     rises by ``delta`` and everything that waited becomes the frontier.
     """
     stop = stop or Stop()
+    edges = edges.select("src", "dst", "weight").repartition("src").persist()
     frontier = materialize(seed.select("node", "value"), spec.name)
     parts, waiting = [frontier], []
     limit = threshold if threshold is not None else delta
@@ -95,4 +98,5 @@ def fixpoint(spec: FixpointSpec, edges: DataFrame, seed: DataFrame, stop: Stop |
             if delta is None:
                 discard(*[p for p in parts if p is not frontier])
             parts = [merged]
+    edges.unpersist()
     return parts[0] if len(parts) == 1 else _merge(parts, spec.combine)

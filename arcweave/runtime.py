@@ -7,6 +7,8 @@ lost executor costs a re-read and never a lost result.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -42,6 +44,7 @@ def scratch_root(spark: SparkSession) -> str:
     if not base:
         if app not in _LOCAL_SCRATCH:
             _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="arcweave-")
+            atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], ignore_errors=True)
         base = f"file://{_LOCAL_SCRATCH[app]}"
     return f"{base.rstrip('/')}/arcweave-{app}"
 
@@ -66,6 +69,12 @@ def discard(*tables: DataFrame | None) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything that this application has materialised; results read from it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
