@@ -75,6 +75,12 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def redeal(key: Column) -> Column:
+    """A one-to-one image of a long key. Joining a table with an aggregate of itself on the image gives
+    both sides an exchange of their own, and only such joins can be split where one key is hot."""
+    return key.bitwiseXOR(F.lit(0x5DEECE66D))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
