@@ -14,7 +14,8 @@
    text of each of its buckets (partial minimum, so a bucket of any size costs
    one pair a member), and pairs are verified by their true weighted Jaccard
    similarity. Buckets that still hold texts of several classes are then searched
-   across classes, so a link that the star missed is found. That search does not
+   across classes, first from the text with the smallest share of shingles of its
+   own, then in full, so a link that a star missed is found. That search does not
    form all pairs: shingles that no other text of these buckets has bound the
    similarity. With W the weight of a text and U that of its own shingles,
    J(a, b) <= min(Wa - Ua, Wb - Ub) / max(Wa + Ub, Wb + Ua); so two texts that
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from arcweave.llm.textvec import U64, Words, grams, mix, signed, slices, spans_inside, text_of
 from arcweave.operators.components import component_labels
-from arcweave.runtime import discard, materialize
+from arcweave.runtime import materialize, redeal
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -264,26 +265,30 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array([c.compress((x or "").encode()) for x in part.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
 
 
-def verified(pairs: DataFrame, base: DataFrame, k: int, threshold: float, table) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold. Texts travel compressed, and only for ids in pairs."""
-    packed = base.mapInArrow(_pack, "doc long, z binary")
+def verified(pairs: DataFrame, packed: DataFrame, k: int, threshold: float, table) -> DataFrame:
+    """The pairs (a, b) whose texts reach the threshold; packed(doc, z) holds the compressed texts of all candidates."""
     with_b = pairs.join(packed.select(F.col("doc").alias("b"), F.col("z").alias("zb")), "b")
     both = with_b.join(packed.select(F.col("doc").alias("a"), F.col("z").alias("za")), "a")
     return both.select("a", "b", "za", "zb").mapInArrow(_verify(k, threshold, table), "a long, b long, similarity double")
 
 
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """Each text of a bucket with the bucket's smallest: keys(key, rep) -> distinct (a, b), a < b."""
-    heads = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select(F.col("key").alias("k"), "a")
-    return keys.join(heads.hint("shuffle_hash"), F.col("key") == F.col("k")).where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+def shared_buckets(keys: DataFrame) -> DataFrame:
+    """(key, rep, head) of the buckets with several texts; the head is the smallest."""
+    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("z")).where("head < z").select(redeal(F.col("key")).alias("k"), "head")
+    return keys.join(heads.hint("shuffle_hash"), redeal(F.col("key")) == F.col("k")).select("key", "rep", "head")
 
 
-def unsettled(keys: DataFrame, labels: DataFrame) -> DataFrame:
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Each text of a bucket with the bucket's head: distinct (a, b), a < b."""
+    return members.where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, rep, comp) in buckets of several classes, without the heads that the star has tested."""
     lab = labels.select(F.col("node").alias("n"), "comp")
-    named = keys.join(lab, F.col("rep") == F.col("n"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("head")).where("lo < hi").select(F.col("key").alias("k"), "head")
-    return named.join(mixed.hint("shuffle_hash"), F.col("key") == F.col("k")).where("rep <> head").select("key", "rep", "comp")
+    named = members.join(lab, F.col("rep") == F.col("n"), "left").select("key", "rep", "head", F.coalesce("comp", "rep").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(redeal(F.col("key")).alias("k"))
+    return named.join(mixed.hint("shuffle_hash"), redeal(F.col("key")) == F.col("k")).where("rep <> head").select("key", "rep", "comp")
 
 
 def _own_shingles(k: int, table):
@@ -311,19 +316,40 @@ def own_weights(members: DataFrame, packed: DataFrame, k: int, table) -> DataFra
     return alone.groupBy(F.col("doc").alias("o")).agg((F.sum("w") / 64.0).alias("own"))
 
 
-def cross_pairs(members: DataFrame, weights: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and two classes that the bound does not rule out."""
+def bounded_members(members: DataFrame, weights: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """(key, rep, comp, weight, own) of the members that can be near to any other."""
     known = weights.select(F.col("rep").alias("r"), "weight").join(own, F.col("r") == F.col("o"), "left").select("r", "weight", F.coalesce("own", F.lit(0.0)).alias("own"))
-    bounded = members.join(known, F.col("rep") == F.col("r")).where(F.col("weight") - F.col("own") >= F.lit(threshold - 1e-6) * F.col("weight")).select("key", "rep", "comp", "weight", "own")
-    bounded = materialize(bounded, "bounded")
-    still = bounded.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-    live = bounded.join(still.hint("shuffle_hash"), F.col("key") == F.col("k")).select("key", "rep", "comp", "weight", "own")
+    return members.join(known, F.col("rep") == F.col("r")).where(F.col("weight") - F.col("own") >= F.lit(threshold - 1e-6) * F.col("weight")).select("key", "rep", "comp", "weight", "own")
+
+
+def _may_reach(threshold: float):
+    """The bound for two members, the second with prefix x_."""
+    overlap = F.least(F.col("weight") - F.col("own"), F.col("x_weight") - F.col("x_own"))
+    union = F.greatest(F.col("weight") + F.col("x_own"), F.col("x_weight") + F.col("own"))
+    return (F.col("comp") != F.col("x_comp")) & (overlap >= F.lit(threshold - 1e-6) * union)
+
+
+def clean_star_pairs(bounded: DataFrame, threshold: float) -> DataFrame:
+    """Each member with the bucket's text that has the smallest share of own shingles: what copies of one text are copies of."""
+    best = bounded.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("weight")).alias("share"), "rep", "comp", "weight", "own")).alias("x"))
+    x = best.select(redeal(F.col("key")).alias("x_key"), *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("rep", "comp", "weight", "own")])
+    near = bounded.join(x.hint("shuffle_hash"), (redeal(F.col("key")) == F.col("x_key")) & _may_reach(threshold))
+    return near.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
+
+
+def relabelled(bounded: DataFrame, labels: DataFrame) -> DataFrame:
+    lab = labels.select(F.col("node").alias("n"), F.col("comp").alias("c"))
+    return bounded.join(lab, F.col("rep") == F.col("n"), "left").select("key", "rep", F.coalesce("c", "rep").alias("comp"), "weight", "own")
+
+
+def cross_pairs(bounded: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of one bucket and two classes that the bound does not rule out."""
+    still = bounded.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(redeal(F.col("key")).alias("k"))
+    live = bounded.join(still.hint("shuffle_hash"), redeal(F.col("key")) == F.col("k")).select("key", "rep", "comp", "weight", "own")
     clean = F.col("own") <= F.lit((1 - threshold) / (1 + threshold) + 1e-6) * F.col("weight")
     x = live.where(clean).select(*[F.col(c).alias(f"x_{c}") for c in live.columns])
     y = live.withColumn("clean", clean)
-    overlap = F.least(F.col("weight") - F.col("own"), F.col("x_weight") - F.col("x_own"))
-    union = F.greatest(F.col("weight") + F.col("x_own"), F.col("x_weight") + F.col("own"))
-    on = (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")) & (~F.col("clean") | (F.col("x_rep") < F.col("rep"))) & (overlap >= F.lit(threshold - 1e-6) * union)
+    on = (F.col("key") == F.col("x_key")) & (~F.col("clean") | (F.col("x_rep") < F.col("rep"))) & _may_reach(threshold)
     return y.join(x, on).select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
@@ -338,16 +364,19 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = signed_.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")
     keys = texts.select("rep", F.explode("bands").alias("key"))
-    star = materialize(verified(star_pairs(keys), live, k, threshold, table), "star")
+    members = materialize(shared_buckets(keys), "members")
+    ids = members.select(F.col("rep").alias("r")).distinct()
+    packed = live.mapInArrow(_pack, "doc long, z binary").join(ids, F.col("doc") == F.col("r"), "left_semi")
+    packed = materialize(packed, "candidates")  # the one shuffle of whole texts
+    star = materialize(verified(star_pairs(members), packed, k, threshold, table), "star")
     labels = materialize(component_labels(star, "a", "b"), "labels")
-    members = materialize(unsettled(keys, labels), "unsettled")
-    own = own_weights(members, live.mapInArrow(_pack, "doc long, z binary"), k, table)
-    rest = materialize(verified(cross_pairs(members, texts, own, threshold), live, k, threshold, table), "rest")
-    links = star.unionByName(rest)
-    if rest.isEmpty():
-        final = labels
-    else:
-        final = materialize(component_labels(links, "a", "b"), "labels")
+    open_ = materialize(unsettled(members, labels), "unsettled")
+    bounded = materialize(bounded_members(open_, texts, own_weights(open_, packed, k, table), threshold), "bounded")
+    clean = materialize(verified(clean_star_pairs(bounded, threshold), packed, k, threshold, table), "clean")
+    labels = materialize(component_labels(star.unionByName(clean), "a", "b"), "labels")
+    rest = materialize(verified(cross_pairs(relabelled(bounded, labels), threshold), packed, k, threshold, table), "rest")
+    links = materialize(star.unionByName(clean).unionByName(rest).select("a", "b").distinct(), "links")
+    final = labels if rest.isEmpty() else materialize(component_labels(links, "a", "b"), "labels")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     member = signed_.select("doc", "d1", "d2").join(texts.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), "rep"), (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2")))
     known = final.join(degree.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "comp", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -243,7 +243,7 @@ def test_chat_parts(spark):
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [part(type="text", text="ok")])], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
     r = chat_format.format_chat(df).first()
     assert r.formatted == "### user: look \\l<image:0.1> and <audio:0.3><document:0.4></turn>\n### assistant: ok</turn>\n"
-    assert [(a.turn, a.index, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, 1, "image", "a.png", 4), (0, 3, "audio", "b.wav", 50), (0, 4, "document", "c.pdf", 1536)]
+    assert [(a.turn, a["index"], a.type, a.ref, a.tokens) for a in r.attachments] == [(0, 1, "image", "a.png", 4), (0, 3, "audio", "b.wav", 50), (0, 4, "document", "c.pdf", 1536)]
     assert r.placeholder_tokens == 1590
     assert [r.formatted[s.start : s.start + s.length] for s in r.loss] == ["ok"]
 
@@ -410,13 +410,18 @@ def test_icws_estimates_weighted_jaccard():
 
 
 def test_cross_pairs_finds_what_the_star_misses(spark):
-    keys = spark.createDataFrame([(1, 10), (1, 20), (1, 30), (1, 40), (1, 50)], "key long, rep long")
+    keys = spark.createDataFrame([(1, 10), (1, 20), (1, 30), (1, 40), (1, 50), (2, 10)], "key long, rep long")
     none = spark.createDataFrame([], "node long, comp long")
-    assert {tuple(r) for r in minhash.star_pairs(keys).collect()} == {(10, x) for x in (20, 30, 40, 50)}
-    members = minhash.unsettled(keys, none)
+    shared = minhash.shared_buckets(keys)
+    assert {tuple(r) for r in minhash.star_pairs(shared).collect()} == {(10, x) for x in (20, 30, 40, 50)}
     weights = spark.createDataFrame([(x, 100.0) for x in (10, 20, 30, 40, 50)], "rep long, weight double")
-    own = spark.createDataFrame([(30, 15.0), (40, 15.0), (50, 30.0)], "o long, own double")
-    assert {tuple(r) for r in minhash.cross_pairs(members, weights, own, 0.8).collect()} == {(20, 30), (20, 40)}
+    own = spark.createDataFrame([(30, 2.0), (40, 9.0), (50, 30.0)], "o long, own double")
+    bounded = minhash.bounded_members(minhash.unsettled(shared, none), weights, own, 0.8)
+    assert {r.rep for r in bounded.collect()} == {20, 30, 40}
+    assert {tuple(r) for r in minhash.clean_star_pairs(bounded, 0.8).collect()} == {(20, 30), (20, 40)}
+    assert {tuple(r) for r in minhash.cross_pairs(bounded, 0.8).collect()} == {(20, 30), (20, 40), (30, 40)}
+    one = spark.createDataFrame([(20, 20), (30, 20), (40, 20)], "node long, comp long")
+    assert minhash.cross_pairs(minhash.relabelled(bounded, one), 0.8).count() == 0
 
 
 def test_bound_is_never_too_low():
