@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.textvec import Words, grams, signed, slices, spans_inside, text_of
-from arcweave.runtime import materialize
+from arcweave.runtime import materialize, redeal
 
 LENGTH = 13
 SEED = 5
@@ -201,8 +201,8 @@ def later_copies(base: DataFrame) -> DataFrame:
 def shared_seeds(base: DataFrame, copies: DataFrame, length: int, seed: int) -> DataFrame:
     """(sd, st, pos): per document the places of the anchors that a different text shares; later copies are left out."""
     found = base.where("doc is not null").select("doc", "text", "th").mapInArrow(_emit_anchors(length, seed), "anchor long, doc long, th long, tag short, pos int")
-    shared = found.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select(F.col("anchor").alias("a"))
-    seeds = found.drop("th").join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("a")).groupBy("doc", "tag").agg(F.collect_set("pos").alias("pos"))
+    shared = found.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select(redeal(F.col("anchor")).alias("a"))
+    seeds = found.drop("th").join(shared.hint("shuffle_hash"), redeal(F.col("anchor")) == F.col("a")).groupBy("doc", "tag").agg(F.collect_set("pos").alias("pos"))
     seeds = seeds.join(copies, (F.col("doc") == F.col("cd")) & (F.col("tag") == F.col("ct")), "left_anti")
     return materialize(seeds.select(F.col("doc").alias("sd"), F.col("tag").alias("st"), "pos"), "seeds")
 
@@ -218,8 +218,8 @@ def keep_unrepeated(base: DataFrame, length: int, seed: int, with_text: bool) ->
     packed = flat.mapInArrow(_pack_texts, ", ".join(f"`{f.name if f.name != 'text' else 'z'}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in flat.schema))
     windows = packed.select("doc", "tag", "z").join(seeds, (F.col("doc") == F.col("sd")) & (F.col("tag") == F.col("st"))).select("doc", "tag", "z", "pos")
     windows = windows.mapInArrow(_emit_windows(length, seed), "win long, seed short, doc long, tag short, start int")
-    first = windows.groupBy("win", "seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.col("win").alias("w"), F.col("seed").alias("s"), "lo")
-    hits = windows.join(first.hint("shuffle_hash"), (F.col("win") == F.col("w")) & (F.col("seed") == F.col("s"))).where("lo < doc")
+    first = windows.groupBy("win", "seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(redeal(F.col("win")).alias("w"), F.col("seed").alias("s"), "lo")
+    hits = windows.join(first.hint("shuffle_hash"), (redeal(F.col("win")) == F.col("w")) & (F.col("seed") == F.col("s"))).where("lo < doc")
     hits = hits.groupBy(F.col("doc").alias("hd"), F.col("tag").alias("ht")).agg(F.collect_set("start").alias("starts"))
     joined = packed.join(hits, (F.col("doc") == F.col("hd")) & (F.col("tag") == F.col("ht")), "left").join(copies, (F.col("doc") == F.col("cd")) & (F.col("tag") == F.col("ct")), "left")
     rest = [c for c in base.columns if c not in ("text", "th", "tag")]
