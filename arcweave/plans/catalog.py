@@ -19,6 +19,7 @@ from arcweave.operators import traversal as tv
 from arcweave.operators import verify as vf
 from arcweave.plans.fixtures import G1, G2, G3, G4, g1, g2, g2_pairs, g3, g4, g4_edges, table
 from arcweave.runtime import materialize
+from arcweave.schema import INF
 from arcweave.sources import generators as gen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +73,9 @@ def q_bfs_source_clamped(spark, d):
     return one(-5, "below").unionByName(one(2**60, "above"))
 
 
-@query(_bfs_sql(G4, "(select min(node) from nodes)", "select n.node, b.lvl as level from nodes n left join b on b.node = n.node"))
+@query(_bfs_sql(G4, "(select min(node) from nodes)", "select n.node, coalesce(cast(b.lvl as varchar), 'INF') as level from nodes n left join b on b.node = n.node"))
 def q_bfs_unreachable(spark, d):
-    return tv.bfs(g4(spark, d), -1)
+    return tv.bfs(g4(spark, d), -1).select("node", F.coalesce(F.col("level").cast("string"), F.lit(INF)).alias("level"))
 
 
 _SSSP = """b(node, dist) using key (node) as (
