@@ -18,7 +18,7 @@ from arcweave.operators import routing as rt
 from arcweave.operators import traversal as tv
 from arcweave.operators import verify as vf
 from arcweave.plans.fixtures import G1, G2, G3, G4, g1, g2, g2_pairs, g3, g4, g4_edges, table
-from arcweave.runtime import materialize
+from arcweave.runtime import materialize, shared_file
 from arcweave.schema import INF
 from arcweave.sources import generators as gen
 
@@ -480,24 +480,20 @@ def q_gen_weights(spark, d):
 
 @query("with e as (select 2 * l_suppkey as src, 2 * l_partkey + 1 as dst, cast(min(l_quantity) as bigint) as weight from lineitem group by 1, 2) select src, dst, weight from e where src < 40")
 def q_gr_roundtrip(spark, d):
-    import tempfile
-
     from arcweave.sources.gr import read_gr, write_gr
 
     pairs = g2_pairs(spark, d)
     n = pairs.agg((F.greatest(F.max("src"), F.max("dst")) + 1).alias("n")).first().n
-    path = f"{tempfile.mkdtemp(prefix='arcweave-gr-')}/g.gr"
+    path = shared_file(spark, "g.gr")
     write_gr(pairs.where("src < 40"), n, path)
     return read_gr(spark, path, 1000).edges
 
 
 @query("select i as src, j as dst from (select unnest(range(0, 300)) as i), (values (-1), (1)) t(s), lateral (select i + s as j) where j >= 0 and j < 300")
 def q_dimacs_parse(spark, d):
-    import tempfile
-
     from arcweave.sources.dimacs import read_dimacs
 
-    path = f"{tempfile.mkdtemp(prefix='arcweave-dimacs-')}/chain.graph"
+    path = shared_file(spark, "chain.graph")
     with open(path, "w") as f:
         f.write("% a chain\n300 299\n")
         for i in range(300):

@@ -8,6 +8,7 @@ lost executor costs a re-read and never a lost result.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -69,6 +70,16 @@ def discard(*tables: DataFrame | None) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shared_file(spark: SparkSession, name: str) -> str:
+    """A path that plain file calls reach on the driver and the executors: the scratch folder, mounted everywhere."""
+    root = scratch_root(spark)
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError(f"{root} cannot be reached by plain file calls; give a mounted path")
+    folder = os.path.join(root.removeprefix("file://"), uuid.uuid4().hex)
+    os.makedirs(folder)
+    return os.path.join(folder, name)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything that this application has materialised; results read from it must be written before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
