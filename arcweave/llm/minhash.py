@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from arcweave.llm.textvec import U64, Words, grams, mix, signed, slices, spans_inside, text_of
 from arcweave.operators.components import component_labels
-from arcweave.runtime import materialize, redeal
+from arcweave.runtime import materialize, redeal, shuffle_width
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -269,7 +269,8 @@ def verified(pairs: DataFrame, packed: DataFrame, k: int, threshold: float, tabl
     """The pairs (a, b) whose texts reach the threshold; packed(doc, z) holds the compressed texts of all candidates."""
     with_b = pairs.join(packed.select(F.col("doc").alias("b"), F.col("z").alias("zb")), "b")
     both = with_b.join(packed.select(F.col("doc").alias("a"), F.col("z").alias("za")), "a")
-    return both.select("a", "b", "za", "zb").mapInArrow(_verify(k, threshold, table), "a long, b long, similarity double")
+    dealt = both.select("a", "b", "za", "zb").repartition(max(16, shuffle_width(pairs.sparkSession)))  # evenly, as pairs cost CPU and not bytes
+    return dealt.mapInArrow(_verify(k, threshold, table), "a long, b long, similarity double")
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
