@@ -344,13 +344,16 @@ def relabelled(bounded: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cross_pairs(bounded: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of one bucket and two classes that the bound does not rule out."""
+    """All pairs (a, b) of one bucket and two classes that the bound does not rule out, each from its first shared bucket."""
     still = bounded.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(redeal(F.col("key")).alias("k"))
     live = bounded.join(still.hint("shuffle_hash"), redeal(F.col("key")) == F.col("k")).select("key", "rep", "comp", "weight", "own")
+    places = live.groupBy(F.col("rep").alias("p")).agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one key a band
+    live = live.join(places, F.col("rep") == F.col("p")).drop("p")
     clean = F.col("own") <= F.lit((1 - threshold) / (1 + threshold) + 1e-6) * F.col("weight")
     x = live.where(clean).select(*[F.col(c).alias(f"x_{c}") for c in live.columns])
     y = live.withColumn("clean", clean)
     on = (F.col("key") == F.col("x_key")) & (~F.col("clean") | (F.col("x_rep") < F.col("rep"))) & _may_reach(threshold)
+    on = on & (F.element_at(F.array_intersect("keys", "x_keys"), 1) == F.col("key"))
     return y.join(x, on).select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
