@@ -1,10 +1,11 @@
 """Packing into optimal length buckets with token-budget batches.
 
-One pass counts tokens into a global histogram. Lengths up to ``EXACT`` have a
-bin each; above, a power-of-two range has 64 bins, each counted at its upper
-end, so the histogram has under 4,096 bins for any corpus. Dynamic programming
-over the bins chooses the bucket boundaries that minimise total padding (every
-row is padded to its bucket's upper boundary). Inside a bucket rows are ranked
+One pass counts rows by their exact number of tokens; W tokens in all have at
+most sqrt(2 W) distinct lengths, so the histogram stays small for any corpus.
+Dynamic programming over the distinct lengths chooses the bucket boundaries that
+minimise total padding (every row is padded to its bucket's upper boundary). The
+best split never moves down as the length grows, so each layer is solved by
+halving, in O(lengths log lengths). Inside a bucket rows are ranked
 by hash sub-groups and offsets, and ``budget // boundary`` rows form a batch, so
 no batch exceeds the token budget unless one row alone does.
 
@@ -29,11 +30,36 @@ BUDGET = 65_536
 
 
 def length_bin(n: Column) -> Column:
-    """The upper end of the bin of a length."""
+    """The upper end of the bin of a length, for coarse histograms; ``pack`` counts exact lengths."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 6).cast("long")
     return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step)).cast("long")
 
 
+def _best_splits(base: np.ndarray, cum: np.ndarray, v: np.ndarray, m: int) -> np.ndarray:
+    """For each j >= m the lowest i in [m - 1, j) with the least base[i] - v[j - 1] * cum[i]; i never falls as j grows.
+
+    Positions are solved by halving: between two solved ones, a position searches only between their splits.
+    """
+    n = len(v) - m + 1
+    found = np.empty(n, np.int64)
+    step = 1 << (n - 1).bit_length()
+    while step:
+        mids = np.arange(step - 1, n, 2 * step)
+        lo = np.where(mids - step >= 0, found[mids - step], m - 1)
+        hi = np.where(mids + step < n, found[np.minimum(mids + step, n - 1)], len(v))
+        hi = np.minimum(hi, mids + m - 1)
+        sizes = hi - lo + 1
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        i = np.arange(int(sizes.sum())) - np.repeat(starts - lo, sizes)
+        cost = base[i] - np.repeat(v[mids + m - 1], sizes) * cum[i]
+        least = np.repeat(np.minimum.reduceat(cost, starts), sizes) if len(mids) else cost
+        hits = np.flatnonzero(cost == least)
+        first = hits[np.searchsorted(hits, starts)] if len(mids) else starts[:0]
+        found[mids] = i[first]
+        step //= 2
+    return found
+
+
 def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper boundaries of at most ``buckets`` buckets with the least total padding; ties take the lower split."""
     order = np.argsort(lengths)
@@ -51,13 +77,11 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
     best[0] = 0
     split = np.zeros((k + 1, b + 1), np.int32)
     for m in range(1, k + 1):
+        at = _best_splits(best + mass, cum, v, m)
+        split[m, m:] = at
+        ends = np.arange(m, b + 1)
         nxt = np.full(b + 1, big, np.int64)
-        base = best + mass
-        for j in range(m, b + 1):
-            cost = base[m - 1 : j] - v[j - 1] * cum[m - 1 : j]
-            i = int(np.argmin(cost))
-            nxt[j] = cost[i] + v[j - 1] * cum[j] - mass[j]
-            split[m, j] = i + m - 1
+        nxt[m:] = (best + mass)[at] + v[ends - 1] * (cum[ends] - cum[at]) - mass[ends]
         best = nxt
     cuts, j = [], b
     for m in range(k, 0, -1):
@@ -75,7 +99,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     n = (tokens if tokens is not None else word_count(F.col(text_col))).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(n, F.lit(0)).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
     rows = materialize(rows, "lengths")
-    histogram = rows.groupBy(length_bin(F.col("n_tokens")).alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()  # under 4,096 rows by the binning rule
+    histogram = rows.groupBy(F.col("n_tokens").alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per distinct length
     bounds = optimal_boundaries([r.len for r in histogram], [r.n for r in histogram], buckets)
     bucket, size = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, u in reversed(list(enumerate(bounds))):

@@ -216,6 +216,19 @@ def test_pack(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_long_lengths_have_exact_boundaries(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    lengths = [int(x) for x in np.r_[rng.choice(np.arange(1, 2049), 3), rng.choice(np.arange(2049, 20000), 9, replace=False)] for _ in range(rng.integers(1, 6))]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long").withColumn("text", F.lit("x"))
+    got = packing.pack(rows, tokens=F.col("n"), buckets=4).collect()
+    v = sorted(set(lengths))
+    cost = lambda cuts: sum(min(u for u in cuts if u >= x) - x for x in lengths)
+    assert sum(r.padding for r in got) == min(cost([*x, v[-1]]) for k in range(4) for x in combinations(v[:-1], k))
+    assert {r.bucket_len for r in got} <= set(v) and max(r.bucket_len for r in got) == v[-1]
+
+
 def test_length_bins_are_bounded(spark):
     bins = spark.range(1, 200000).select(packing.length_bin(F.col("id")).alias("b"), "id")
     assert bins.where("b < id or (id > 2048 and b > id * 1.02)").count() == 0
