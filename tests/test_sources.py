@@ -24,6 +24,25 @@ def test_gr_round_trip(spark, tmp_path, weighted, odd):
     assert g.nodes.count() == 5
 
 
+def test_gr_query_takes_the_whole_graph(spark, monkeypatch):
+    from arcweave.plans import catalog
+    from arcweave.sources import gr
+
+    data, headers, lose = "/root/testdata/sf0.01", [], []
+
+    def write(edges, nodes, path):
+        write_gr(edges.where("src < 40 or src % 100 <> 0") if lose else edges, nodes, path)
+        headers.append(read_header(path))
+
+    monkeypatch.setattr(gr, "write_gr", write)
+    want = catalog.g2_pairs(spark, data)
+    assert catalog.q_gr_roundtrip(spark, data).count() == want.where("src < 40").count()
+    assert headers[0][2] == want.count() > want.where("src < 40").count()
+    lose.append(True)
+    with pytest.raises(ValueError, match="lost"):
+        catalog.q_gr_roundtrip(spark, data)
+
+
 def test_gr_errors(tmp_path):
     p = tmp_path / "x.gr"
     for body, what in [(b"abc", "short"), (struct.pack("<4Q", 2, 0, 1, 0), "version"), (struct.pack("<4Q", 1, 0, 3, 0), "row ends"), (struct.pack("<5Q", 1, 0, 1, 2, 2), "destinations"), (struct.pack("<5Q", 1, 4, 1, 1, 1) + b"\0\0\0\0", "weights")]:
