@@ -1,10 +1,12 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of hashed shingles of ``SHINGLE`` words over all
-   documents, as a fixed-size sketch: two rows of ``WIDTH`` counters, an estimate
-   being the smaller counter less the row's mean load. A shingle weighs its count
-   in the text times an inverse document frequency scaled to [IDF_FLOOR, 1]: the
-   bound keeps a large group from talking itself out of its own shingles.
+1. A shingle of ``SHINGLE`` words weighs its count in the text times an inverse
+   document frequency scaled to [IDF_FLOOR, 1]: the bound keeps a large group from
+   talking itself out of its own shingles. Similarities and the bounds below use
+   exact frequencies over all documents: those of two or more are joined to the
+   shingles of the candidates, all others are 1. Only the sampling that proposes
+   candidates uses estimates, from a fixed-size sketch: two rows of ``WIDTH``
+   counters, an estimate being the smaller counter less the row's mean load.
 2. Improved consistent weighted sampling: per hash function each shingle draws
    r, c ~ Gamma(2, 1) and beta ~ U(0, 1) from its own hash, t = floor(ln S / r +
    beta), and the smallest ln c - r (t - beta) - r wins; the sample is (shingle,
@@ -44,13 +46,14 @@ from pyspark.sql import functions as F
 
 from arcweave.llm.textvec import U64, Words, grams, mix, signed, slices, spans_inside, text_of
 from arcweave.operators.components import component_labels
-from arcweave.runtime import materialize, redeal, shuffle_width
+from arcweave.runtime import discard, materialize, redeal, shuffle_width
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 WIDTH, CHUNK = 1 << 19, 1 << 11
 IDF_FLOOR = 0.8
 _TABLE = 1 << 16
+RANGE_BITS, HELD = 12, 1 << 20
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +143,15 @@ def document_frequencies(texts: DataFrame, k: int = SHINGLE, width: int = WIDTH,
     return rows.reshape(2, width), n
 
 
+def inverse_frequency(df: np.ndarray, n: int, floor: float = IDF_FLOOR) -> np.ndarray:
+    """Weight in [floor, 1] of shingles that are in df of n texts."""
+    return floor + (1 - floor) * (1 - np.clip(np.log(df) / math.log(max(n, 2)), 0, 1))
+
+
 def idf_table(rows: np.ndarray, n: int, floor: float = IDF_FLOOR) -> np.ndarray:
     """Weight of a shingle for each cell of either row (the larger of its two is its weight)."""
     excess = np.maximum(1.0, rows - rows.mean(axis=1, keepdims=True))
-    scale = math.log(max(n, 2))
-    return (floor + (1 - floor) * (1 - np.clip(np.log(excess) / scale, 0, 1))).astype(np.float32)
+    return inverse_frequency(excess, n, floor).astype(np.float32)
 
 
 def idf_of(h: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -193,7 +200,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(k: int, bands: int, rows: int, table):
-    """Columns in: doc, text. Out: doc, 128-bit digest of the text, weight of its shingles, band keys (none for texts without words)."""
+    """Columns in: doc, text. Out: doc, 128-bit digest of the text, band keys (none for texts without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = table.value
@@ -205,17 +212,15 @@ def _sign(k: int, bands: int, rows: int, table):
                 d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 count = np.zeros(hi - lo, np.int64)
                 keys = np.zeros((0, bands), U64)
-                total = np.zeros(hi - lo)
                 if len(h):
                     starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
                     weight = tf * idf_of(h, idf)
                     keys = band_keys(samples(h, weight, starts, bands * rows), bands, rows)
                     count[text[starts]] = bands
-                    total = np.bincount(text, weight, minlength=hi - lo)
                 offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
                 yield pa.record_batch(
-                    [b.column(0).slice(lo, hi - lo), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(total), pa.ListArray.from_arrays(offsets, pa.array(signed(keys.reshape(-1))))],
-                    names=["doc", "d1", "d2", "weight", "bands"],
+                    [b.column(0).slice(lo, hi - lo), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(signed(keys.reshape(-1))))],
+                    names=["doc", "d1", "d2", "bands"],
                 )
 
     return run
@@ -230,24 +235,135 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
     return float(low / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - low))
 
 
-def _verify(k: int, threshold: float, table):
-    """Columns in: a, b, za, zb (packed texts). Out: a, b, similarity of the pairs that reach the threshold."""
+def _shingle_ranges(k: int):
+    """Columns in: text. Out: range of hashes, packed distinct shingle hashes of that range and the number of texts that have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        held: list[np.ndarray] = []
+
+        def dealt() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            at = np.searchsorted(h >> U64(64 - RANGE_BITS), np.arange((1 << RANGE_BITS) + 1, dtype=U64))
+            full = np.flatnonzero(np.diff(at))
+            body = []
+            for i in full:
+                step = np.diff(h[at[i] : at[i + 1]], prepend=U64(0))  # sorted, so small steps; bytes of one place stand together
+                body.append(z.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes() + n[at[i] : at[i + 1]].astype(np.int64).tobytes()))
+            return pa.record_batch([pa.array(full.astype(np.int32)), pa.array(body, pa.binary())], names=["range", "body"])
+
+        for b in batches:
+            for _, _, data, offs in slices(b.column(0)):
+                held.append(weighted_shingles(Words(data, offs), k)[1])
+                if sum(map(len, held)) >= HELD:
+                    yield dealt()
+                    held.clear()
+        if sum(map(len, held)):
+            yield dealt()
+
+    return run
+
+
+def _add_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns in: range, body, by range. Out: the shingle hashes of more than one text with their frequencies; memory holds one range."""
+    d = zstandard.ZstdDecompressor()
+    held: list[np.ndarray] = []
+    last = None
+
+    def summed() -> pa.RecordBatch:
+        m = [len(x) // 2 for x in held]
+        h = np.concatenate([np.cumsum(np.ascontiguousarray(x[:i].view(np.uint8).reshape(8, -1).T).view(U64).reshape(-1), dtype=U64) for x, i in zip(held, m, strict=True)])
+        n = np.concatenate([x[i:].view(np.int64) for x, i in zip(held, m, strict=True)])
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        total = np.add.reduceat(n[order], at)
+        return pa.record_batch([pa.array(signed(h[at][total > 1])), pa.array(total[total > 1])], names=["h", "n"])
+
+    for b in batches:
+        for r, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if held and r != last:
+                yield summed()
+                held.clear()
+            last = r
+            held.append(np.frombuffer(d.decompress(body), U64))
+    if held:
+        yield summed()
+
+
+def common_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(h, n): the shingles that are in more than one text, with the exact number of texts."""
+    parts = texts.mapInArrow(_shingle_ranges(k), "range int, body binary")
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(_add_ranges, "h long, n long")
+
+
+def _shingle_rows(k: int):
+    """Columns in: doc, z. Out: the hash of each distinct shingle of a text, with its doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, d = table.value, zstandard.ZstdDecompressor()
+        d = zstandard.ZstdDecompressor()
+        for b in batches:
+            texts = pa.array([d.decompress(x) for x in b.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offs in slices(texts):
+                text, h, _ = weighted_shingles(Words(data, offs), k)
+                if len(h):
+                    yield pa.record_batch([pa.array(signed(h)), pa.array(ids[lo:hi][text])], names=["h", "doc"])
+
+    return run
+
+
+def _with_weights(k: int, n: int):
+    """Columns in: doc, z, known (shingles with frequencies over 1). Out: doc, z, f (packed frequencies, by shingle hash), weight of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, d = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for b in batches:
+            freqs, weights = [], []
+            for i, z in enumerate(b.column(1).to_pylist()):
+                known = b.column(2)[i].values
+                data = np.frombuffer(d.decompress(z), np.uint8)
+                _, h, tf = weighted_shingles(Words(data, np.array([0, len(data)], np.int64)), k)
+                df = np.ones(len(h), np.int64)
+                if known is not None and len(known):
+                    g, m = (known.field(x).to_numpy(zero_copy_only=False) for x in (0, 1))
+                    at = np.minimum(np.searchsorted(h, g.view(U64)), max(len(h) - 1, 0))
+                    here = h[at] == g.view(U64)
+                    df[at[here]] = m[here]
+                freqs.append(c.compress(df.tobytes()))
+                weights.append(float((tf * inverse_frequency(df, n)).sum()))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(freqs, pa.binary()), pa.array(weights, pa.float64())], names=["doc", "z", "f", "weight"])
+
+    return run
+
+
+def with_exact_weights(packed: DataFrame, texts: DataFrame, k: int, n: int) -> DataFrame:
+    """packed(doc, z) with f, the exact document frequencies over all ``texts`` of each text's shingles, and the text's weight."""
+    common = common_shingles(texts, k).select(F.col("h").alias("x"), "n")
+    rows = packed.select("doc", "z").mapInArrow(_shingle_rows(k), "h long, doc long")
+    known = rows.join(common, F.col("h") == F.col("x")).groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("h", "n")).alias("known"))
+    both = packed.join(known, F.col("doc") == F.col("d"), "left").select("doc", "z", "known")
+    return both.mapInArrow(_with_weights(k, n), "doc long, z binary, f binary, weight double")
+
+
+def _verify(k: int, threshold: float, n: int):
+    """Columns in: a, b, za, fa, zb, fb (packed texts and frequencies). Out: a, b, similarity of the pairs that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
         last: dict[int, tuple] = {}
 
-        def features(doc: int, z: bytes) -> tuple:
+        def features(z: bytes, f: bytes) -> tuple:
             data = np.frombuffer(d.decompress(z), np.uint8)
             _, h, tf = weighted_shingles(Words(data, np.array([0, len(data)], np.int64)), k)
-            return h, (tf * idf_of(h, idf)).astype(np.float64)
+            return h, tf * inverse_frequency(np.frombuffer(d.decompress(f), np.int64), n)
 
         for b in batches:
             out = []
-            for x, y, zx, zy in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for x, y, zx, fx, zy, fy in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if x not in last:
-                    last = {x: features(x, zx)}
-                s = weighted_jaccard(*last[x], *features(y, zy))
+                    last = {x: features(zx, fx)}
+                s = weighted_jaccard(*last[x], *features(zy, fy))
                 if s >= threshold:
                     out.append((x, y, s))
             if out:
@@ -265,12 +381,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array([c.compress((x or "").encode()) for x in part.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
 
 
-def verified(pairs: DataFrame, packed: DataFrame, k: int, threshold: float, table) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold; packed(doc, z) holds the compressed texts of all candidates."""
-    with_b = pairs.join(packed.select(F.col("doc").alias("b"), F.col("z").alias("zb")), "b")
-    both = with_b.join(packed.select(F.col("doc").alias("a"), F.col("z").alias("za")), "a")
-    dealt = both.select("a", "b", "za", "zb").repartition(max(16, shuffle_width(pairs.sparkSession)))  # evenly, as pairs cost CPU and not bytes
-    return dealt.mapInArrow(_verify(k, threshold, table), "a long, b long, similarity double")
+def verified(pairs: DataFrame, packed: DataFrame, k: int, threshold: float, n: int) -> DataFrame:
+    """The pairs (a, b) whose texts reach the threshold; packed(doc, z, f) holds the compressed texts of all candidates and their frequencies."""
+    with_b = pairs.join(packed.select(F.col("doc").alias("b"), F.col("z").alias("zb"), F.col("f").alias("fb")), "b")
+    both = with_b.join(packed.select(F.col("doc").alias("a"), F.col("z").alias("za"), F.col("f").alias("fa")), "a")
+    dealt = both.select("a", "b", "za", "fa", "zb", "fb").repartition(max(16, shuffle_width(pairs.sparkSession)))  # evenly, as pairs cost CPU and not bytes
+    return dealt.mapInArrow(_verify(k, threshold, n), "a long, b long, similarity double")
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
@@ -292,27 +408,28 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed.hint("shuffle_hash"), redeal(F.col("key")) == F.col("k")).where("rep <> head").select("key", "rep", "comp")
 
 
-def _own_shingles(k: int, table):
-    """Columns in: doc, z. Out: a row per distinct shingle: 32 bits of its hash, doc, its weight in 64ths rounded down."""
+def _own_shingles(k: int, n: int):
+    """Columns in: doc, z, f. Out: a row per distinct shingle: 32 bits of its hash, doc, its weight in 64ths rounded down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, d = table.value, zstandard.ZstdDecompressor()
+        d = zstandard.ZstdDecompressor()
         for b in batches:
             texts = pa.array([d.decompress(x) for x in b.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, freqs = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
             for lo, hi, data, offs in slices(texts):
                 text, h, tf = weighted_shingles(Words(data, offs), k)
                 if len(h):
-                    w = np.floor(tf * idf_of(h, idf) * 64)
+                    df = np.frombuffer(b"".join(d.decompress(x) for x in freqs[lo:hi]), np.int64)
+                    w = np.floor(tf * inverse_frequency(df, n) * 64)
                     yield pa.record_batch([pa.array(signed(h).astype(np.int32)), pa.array(ids[lo:hi][text]), pa.array(w.astype(np.int32))], names=["h", "doc", "w"])
 
     return run
 
 
-def own_weights(members: DataFrame, packed: DataFrame, k: int, table) -> DataFrame:
+def own_weights(members: DataFrame, packed: DataFrame, k: int, n: int) -> DataFrame:
     """(o, own): per text the weight of the shingles that no other member has; never too high."""
     ids = members.select(F.col("rep").alias("r")).distinct()
-    rows = packed.join(ids, F.col("doc") == F.col("r")).select("doc", "z").mapInArrow(_own_shingles(k, table), "h int, doc long, w int")
+    rows = packed.join(ids, F.col("doc") == F.col("r")).select("doc", "z", "f").mapInArrow(_own_shingles(k, n), "h int, doc long, w int")
     alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("w").alias("w")).where("n = 1")
     return alone.groupBy(F.col("doc").alias("o")).agg((F.sum("w") / 64.0).alias("own"))
 
@@ -364,21 +481,24 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     counters, n = document_frequencies(base.select("text"), k)
     table = spark.sparkContext.broadcast(idf_table(counters, n))
     live = base.where("doc is not null")
-    signed_ = materialize(live.mapInArrow(_sign(k, bands, rows, table), "doc long, d1 long, d2 long, weight double, bands array<long>"), "signatures")
-    texts = signed_.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    signed_ = materialize(live.mapInArrow(_sign(k, bands, rows, table), "doc long, d1 long, d2 long, bands array<long>"), "signatures")
+    texts = signed_.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")
     keys = texts.select("rep", F.explode("bands").alias("key"))
     members = materialize(shared_buckets(keys), "members")
     ids = members.select(F.col("rep").alias("r")).distinct()
     packed = live.mapInArrow(_pack, "doc long, z binary").join(ids, F.col("doc") == F.col("r"), "left_semi")
-    packed = materialize(packed, "candidates")  # the one shuffle of whole texts
-    star = materialize(verified(star_pairs(members), packed, k, threshold, table), "star")
+    bare = materialize(packed, "packed")
+    packed = materialize(with_exact_weights(bare, base.select("text"), k, n), "candidates")
+    discard(bare)
+    weights = packed.groupBy(F.col("doc").alias("rep")).agg(F.max("weight").alias("weight"))
+    star = materialize(verified(star_pairs(members), packed, k, threshold, n), "star")
     labels = materialize(component_labels(star, "a", "b"), "labels")
     open_ = materialize(unsettled(members, labels), "unsettled")
-    bounded = materialize(bounded_members(open_, texts, own_weights(open_, packed, k, table), threshold), "bounded")
-    clean = materialize(verified(clean_star_pairs(bounded, threshold), packed, k, threshold, table), "clean")
+    bounded = materialize(bounded_members(open_, weights, own_weights(open_, packed, k, n), threshold), "bounded")
+    clean = materialize(verified(clean_star_pairs(bounded, threshold), packed, k, threshold, n), "clean")
     labels = materialize(component_labels(star.unionByName(clean), "a", "b"), "labels")
-    rest = materialize(verified(cross_pairs(relabelled(bounded, labels), threshold), packed, k, threshold, table), "rest")
+    rest = materialize(verified(cross_pairs(relabelled(bounded, labels), threshold), packed, k, threshold, n), "rest")
     links = materialize(star.unionByName(clean).unionByName(rest).select("a", "b").distinct(), "links")
     final = labels if rest.isEmpty() else materialize(component_labels(links, "a", "b"), "labels")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

@@ -411,6 +411,37 @@ def test_minhash_classes(docs, empty):
     assert 1 not in ids and 0 in ids and None in ids and 15 not in ids
 
 
+def test_common_shingles_are_counted_exactly(docs, empty, monkeypatch):
+    monkeypatch.setattr(minhash, "HELD", 64)  # several ranges a task
+    got = sorted(r.n for r in minhash.common_shingles(docs.select("text"), 5).collect())
+    df = collections.Counter(x for r in docs.collect() for x in counts(r.text))
+    assert got == sorted(n for n in df.values() if n > 1)
+    assert minhash.common_shingles(empty.select("text"), 5).count() == 0
+
+
+def test_minhash_decides_by_exact_frequencies(spark, monkeypatch):
+    sketch = minhash.document_frequencies
+    monkeypatch.setattr(minhash, "document_frequencies", lambda texts, k: sketch(texts, k, width=minhash.CHUNK))  # as crowded as for a large corpus
+    words = lambda name, n: " ".join(f"{name}x{j}" for j in range(n))
+    rows = []
+    for p, shared in enumerate(range(470, 1120, 26)):  # similarity from 0.7 to 0.85
+        rows += [(2 * p + i, words(f"b{p}", shared + 4) + " " + words(f"t{p}y{i}", 100)) for i in range(2)]
+    rows += [(1000 + i, words("b13", 400) + " " + words(f"z{i}", 300)) for i in range(6)]  # some shingles of pair 13 are common
+    for p, shared in enumerate(range(796, 840, 4)):  # close to 0.8
+        rows += [(200 + 2 * p + i, words(f"c{p}", shared + 4) + " " + words(f"u{p}y{i}", 100)) for i in range(2)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {i: counts(t) for i, t in rows}
+    df = collections.Counter(x for c in texts.values() for x in c)
+    idf = {x: 0.8 + 0.2 * (1 - np.log(m) / np.log(len(rows))) for x, m in df.items()}
+    close = 0
+    for a in sorted(x for x in texts if x < 1000 and x % 2 == 0):
+        x, y = texts[a], texts[a + 1]
+        j = sum(idf[s] * min(x[s], y[s]) for s in x) / sum(idf[s] * max(x[s], y[s]) for s in x | y)
+        assert (got[a] == got[a + 1]) == (j >= 0.8), (a, j)
+        close += 0.7 <= j <= 0.85
+    assert close > 20
+
+
 def test_icws_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
