@@ -5,7 +5,9 @@ larger neighbours to the smallest node it has seen (large star), then its
 smaller ones (small star). The number of rounds is logarithmic in the component
 diameter; rounds are tables in the shared folder, so nothing is collected and a
 lost executor repeats one round only. Neighbourhood minima are partial
-aggregates, so a hub is combined before it is shuffled.
+aggregates, so a hub is combined before it is shuffled; they meet the edges on
+an image of the node, which gives both sides an exchange of their own, so that
+a hub's edges are split over tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.runtime import discard, materialize
+from arcweave.runtime import discard, materialize, materialize_counted, redeal
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,8 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("k", "m").alias("m"))
-    joined = near.join(low, near.u == low.k)
+    low = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), redeal(F.col("u")).alias("kk"))
+    joined = near.join(low.drop("k"), redeal(F.col("u")) == F.col("kk"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,18 +39,19 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_r
     Self loops and null ends are ignored; parallel edges and both directions are
     harmless; no edges give no rows. ``comp`` is the component's smallest id.
     """
-    cur = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "cc0")
-    last = None
-    for i in range(max_rounds):
-        nxt = materialize(_star(_star(cur, True), False), f"cc{i + 1}")
-        r = nxt.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    ends = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    state = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    cur, last = materialize_counted(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc", state=state)
+    for _ in range(max_rounds if last["rows"] else 0):
+        nxt, now = materialize_counted(_star(_star(cur, True), False), "cc", state=state)
         discard(cur)
         cur = nxt
-        if (r.n, r.h) == last:
+        if now == last:
             break
-        last = (r.n, r.h)
+        last = now
     else:
-        raise RuntimeError("components did not settle")
+        if last["rows"]:
+            raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
 

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Bits of one row of an id filter, as ``bitmap_construct_agg`` makes them, and the rows it has at most (16 MB in all).
+_BITS, FILTER_ROWS = 1 << 15, 1 << 12
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str = "arcweave", **conf: str) -> SparkSession:
@@ -39,9 +42,11 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str =
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for this application; a local one only where the cluster names none."""
+    """The shared folder for this application. A temporary one serves local masters only: elsewhere executors could not read each other's files."""
     app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         if app not in _LOCAL_SCRATCH:
             _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="arcweave-")
@@ -60,6 +65,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, name: str = "table", **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize` with its number of rows as ``rows`` and other aggregates, taken while the table is written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]), name)
+    return out, seen.get
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by :func:`materialize` that no later plan reads."""
     for t in tables:
@@ -92,6 +104,26 @@ def redeal(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(0x5DEECE66D))
 
 
+def id_filter(ids: DataFrame, rows: int = FILTER_ROWS) -> DataFrame:
+    """(fb, bits): a Bloom filter of the long column ``ids``, for :func:`may_hold`.
+
+    It has at most ``rows`` rows of 4 kB whatever the number of ids, so it can
+    always be broadcast; an overfull one lets more rows pass, never fewer.
+    """
+    spot = ids.select(F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(rows * _BITS)).alias("p"))
+    spot = spot.select(F.shiftright("p", 15).cast("int").alias("fb"), F.pmod("p", F.lit(_BITS)).alias("at"))
+    return spot.repartition("fb").groupBy("fb").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def may_hold(df: DataFrame, key: str, bits: DataFrame, out: str, rows: int = FILTER_ROWS) -> DataFrame:
+    """``df`` with boolean ``out``: false only if the long column ``key`` is null or not among the ids of the filter."""
+    spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(rows * _BITS))
+    byte = F.substring("bits", (F.pmod(F.shiftright(spot, 3), F.lit(_BITS // 8)) + 1).cast("int"), F.lit(1))
+    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(spot, F.lit(8)).cast("int")) == 1
+    joined = df.join(F.broadcast(bits), F.shiftright(spot, 15).cast("int") == F.col("fb"), "left")
+    return joined.withColumn(out, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("fb", "bits")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
