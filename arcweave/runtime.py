@@ -105,23 +105,23 @@ def redeal(key: Column) -> Column:
 
 
 def id_filter(ids: DataFrame, rows: int = FILTER_ROWS) -> DataFrame:
-    """(fb, bits): a Bloom filter of the long column ``ids``, for :func:`may_hold`.
+    """(__fb, __bits): a Bloom filter of the long column ``ids``, for :func:`may_hold`.
 
     It has at most ``rows`` rows of 4 kB whatever the number of ids, so it can
     always be broadcast; an overfull one lets more rows pass, never fewer.
     """
     spot = ids.select(F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(rows * _BITS)).alias("p"))
-    spot = spot.select(F.shiftright("p", 15).cast("int").alias("fb"), F.pmod("p", F.lit(_BITS)).alias("at"))
-    return spot.repartition("fb").groupBy("fb").agg(F.bitmap_construct_agg("at").alias("bits"))
+    spot = spot.select(F.shiftright("p", 15).cast("int").alias("__fb"), F.pmod("p", F.lit(_BITS)).alias("at"))
+    return spot.repartition("__fb").groupBy("__fb").agg(F.bitmap_construct_agg("at").alias("__bits"))
 
 
 def may_hold(df: DataFrame, key: str, bits: DataFrame, out: str, rows: int = FILTER_ROWS) -> DataFrame:
     """``df`` with boolean ``out``: false only if the long column ``key`` is null or not among the ids of the filter."""
     spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(rows * _BITS))
-    byte = F.substring("bits", (F.pmod(F.shiftright(spot, 3), F.lit(_BITS // 8)) + 1).cast("int"), F.lit(1))
+    byte = F.substring("__bits", (F.pmod(F.shiftright(spot, 3), F.lit(_BITS // 8)) + 1).cast("int"), F.lit(1))
     hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(spot, F.lit(8)).cast("int")) == 1
-    joined = df.join(F.broadcast(bits), F.shiftright(spot, 15).cast("int") == F.col("fb"), "left")
-    return joined.withColumn(out, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("fb", "bits")
+    joined = df.join(F.broadcast(bits), F.shiftright(spot, 15).cast("int") == F.col("__fb"), "left")
+    return joined.withColumn(out, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("__fb", "__bits")
 
 
 def shuffle_width(spark: SparkSession) -> int:
