@@ -1,12 +1,15 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles.
 
-1. A shingle of ``SHINGLE`` words weighs its count in the text times an inverse
-   document frequency scaled to [IDF_FLOOR, 1]: the bound keeps a large group from
-   talking itself out of its own shingles. Similarities and the bounds below use
-   exact frequencies over all documents: those of two or more are joined to the
-   shingles of the candidates, all others are 1. Only the sampling that proposes
-   candidates uses estimates, from a fixed-size sketch: two rows of ``WIDTH``
-   counters, an estimate being the smaller counter less the row's mean load.
+1. A shingle of ``SHINGLE`` words weighs its count in the text times
+   FLOOR + (1 - FLOOR) * ln(N / df) / ln(1 / COMMON), at most 1: df is the exact
+   number of the N documents that have it. A shingle in fewer than a share
+   ``COMMON`` of the documents weighs 1, boilerplate less, down to FLOOR; without
+   a floor, a group of edited copies that holds a third of all documents would
+   weigh its shared shingles away against its edits. Only shingles of df >= COMMON * N
+   need a count, and there are at most (mean shingles of a text) / COMMON of them,
+   whatever the corpus. They are found in two passes: a sketch that never counts
+   too low (two rows of ``WIDTH`` counters) names the shingles that may be common,
+   then exactly these are counted. A narrow sketch costs shuffle, never exactness.
 2. Improved consistent weighted sampling: per hash function each shingle draws
    r, c ~ Gamma(2, 1) and beta ~ U(0, 1) from its own hash, t = floor(ln S / r +
    beta), and the smallest ln c - r (t - beta) - r wins; the sample is (shingle,
@@ -14,10 +17,14 @@
    similarity.
 3. ``BANDS`` bands of ``ROWS`` samples make candidates: a text meets the smallest
    text of each of its buckets (partial minimum, so a bucket of any size costs
-   one pair a member), and pairs are verified by their true weighted Jaccard
-   similarity. Buckets that still hold texts of several classes are then searched
-   across classes, first from the text with the smallest share of shingles of its
-   own, then in full, so a link that a star missed is found. That search does not
+   one pair a member), pairs whose total weights differ too much are dropped, and
+   the rest are verified by their true weighted Jaccard similarity. Texts move
+   only if they are in such a pair: a filter of fixed size over the candidates'
+   ids is asked where the texts are read, and each text follows its pairs, sorted
+   by their first text, so that a head is split into shingles once a task.
+   Buckets that still hold texts of several classes are then searched across
+   classes, first from the text with the smallest share of shingles of its own,
+   then in full, so a link that a star missed is found. That search does not
    form all pairs: shingles that no other text of these buckets has bound the
    similarity. With W the weight of a text and U that of its own shingles,
    J(a, b) <= min(Wa - Ua, Wb - Ub) / max(Wa + Ub, Wb + Ua); so two texts that
@@ -29,7 +36,11 @@
 
 Defined cases: a text of 1 to 4 words is a single shingle; a text without words
 is near to nothing but its equals; a null text is empty; a null id gets a null
-class; rows of one id are one document; empty in, empty out.
+class; rows of one id get the class of their own text, and two texts whose
+smallest id is the same share a class; a text of any length is handled whole, alone if it is
+longer than a slice; ties for the head of a bucket go to the smallest id; other
+columns, whatever their names, pass or are ignored; empty in, empty out. Ids
+must be castable to long.
 """
 
 from __future__ import annotations
@@ -41,19 +52,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.textvec import U64, Words, grams, mix, signed, slices, spans_inside, text_of
 from arcweave.operators.components import component_labels
-from arcweave.runtime import discard, materialize, redeal, shuffle_width
+from arcweave.runtime import discard, id_filter, materialize, materialize_counted, may_hold, redeal
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-WIDTH, CHUNK = 1 << 19, 1 << 11
-IDF_FLOOR = 0.8
+WIDTH, CHUNK = 1 << 20, 1 << 12
+COMMON, FLOOR = 1 / 1024, 0.7
 _TABLE = 1 << 16
-RANGE_BITS, HELD = 12, 1 << 20
+HELD = 1 << 20
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,17 +100,18 @@ def _cells(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & m).astype(np.int64), ((h >> U64(32)) & m).astype(np.int64)
 
 
-def _count_frequencies(k: int, width: int, chunk: int):
-    """Columns in: text. Out: per task, chunks of the two counter rows, and the number of texts as chunk -1."""
+def _sketch(k: int, width: int, chunk: int):
+    """Columns in: text. Out: per task, chunks of the two counter rows, and as chunk -1 the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n = np.zeros((2, width), np.int64), 0
+        rows, n = np.zeros((2, width), np.int32), 0
         for b in batches:
             n += b.num_rows
             for _, _, data, offs in slices(b.column(0)):
                 _, h, _ = weighted_shingles(Words(data, offs), k)
                 for r, cell in enumerate(_cells(h, width)):
-                    rows[r] += np.bincount(cell, minlength=width)
+                    at, m = np.unique(cell, return_counts=True)
+                    rows[r][at] += m.astype(np.int32)
         if n:
             yield _chunks(rows, n, chunk)
 
@@ -107,35 +119,40 @@ def _count_frequencies(k: int, width: int, chunk: int):
 
 
 def _chunks(rows: np.ndarray, n: int, chunk: int) -> pa.RecordBatch:
-    flat = rows.reshape(-1, chunk)
     z = zstandard.ZstdCompressor(level=1)
     ids, body = [-1], [z.compress(np.array([n], np.int64).tobytes())]
-    for i, part in enumerate(flat):
+    for i, part in enumerate(rows.reshape(-1, chunk)):
         if part.any():
             ids.append(i)
-            body.append(z.compress(part.tobytes()))
+            body.append(z.compress(part.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()))
     return pa.record_batch([pa.array(ids, pa.int32()), pa.array(body, pa.binary())], names=["chunk", "body"])
 
 
+def _unchunk(body: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    return raw.view(np.int64) if len(raw) == 8 else np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the chunks of equal number; memory is bounded by the sketch."""
     total: dict[int, np.ndarray] = {}
-    d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    z = zstandard.ZstdCompressor(level=1)
     for b in batches:
         for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(d.decompress(body), np.int64)
+            part = _unchunk(body)
             total[i] = total[i] + part if i in total else part
     if total:
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([z.compress(v.tobytes()) for v in total.values()], pa.binary())], names=["chunk", "body"])
+        packed = [z.compress((v if i < 0 else v.view(np.uint8).reshape(-1, 8).T).tobytes()) for i, v in total.items()]
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "body"])
 
 
-def document_frequencies(texts: DataFrame, k: int = SHINGLE, width: int = WIDTH, chunk: int = CHUNK) -> tuple[np.ndarray, int]:
-    """The sketch (2 x width counters) and the number of texts; its size does not depend on the corpus."""
-    parts = texts.mapInArrow(_count_frequencies(k, width, chunk), "chunk int, body binary")
+def sketch_frequencies(texts: DataFrame, k: int = SHINGLE, width: int = WIDTH, chunk: int = CHUNK) -> tuple[np.ndarray, int]:
+    """Two rows of ``width`` counters, none lower than the document frequency of any of its shingles, and the number of texts."""
+    parts = texts.mapInArrow(_sketch(k, width, chunk), "chunk int, body binary")
     merged = parts.repartition("chunk").mapInArrow(_add_chunks, "chunk int, body binary").collect()
-    rows, n, d = np.zeros((2 * width // chunk, chunk), np.int64), 0, zstandard.ZstdDecompressor()
+    rows, n = np.zeros((2 * width // chunk, chunk), np.int64), 0
     for r in merged:
-        part = np.frombuffer(d.decompress(bytes(r.body)), np.int64)
+        part = _unchunk(bytes(r.body))
         if r.chunk < 0:
             n += int(part[0])
         else:
@@ -143,20 +160,64 @@ def document_frequencies(texts: DataFrame, k: int = SHINGLE, width: int = WIDTH,
     return rows.reshape(2, width), n
 
 
-def inverse_frequency(df: np.ndarray, n: int, floor: float = IDF_FLOOR) -> np.ndarray:
-    """Weight in [floor, 1] of shingles that are in df of n texts."""
-    return floor + (1 - floor) * (1 - np.clip(np.log(df) / math.log(max(n, 2)), 0, 1))
+def may_be_common(h: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Which shingles the flags (2 x width: counter is high enough) do not rule out."""
+    a, b = _cells(h, flags.shape[1])
+    return flags[0][a] & flags[1][b]
+
+
+def _count_flagged(k: int, flags):
+    """Columns in: text. Out: the flagged shingles of the task with the number of texts that have them, HELD at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(signed(h)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+        for b in batches:
+            for _, _, data, offs in slices(b.column(0)):
+                h = weighted_shingles(Words(data, offs), k)[1]
+                held.append(h[may_be_common(h, flags.value)])
+                if sum(map(len, held)) >= HELD:
+                    yield counted()
+                    held.clear()
+        if sum(map(len, held)):
+            yield counted()
+
+    return run
+
+
+class Idf:
+    """Weights of shingles: ``n`` texts, the flags of the sketch, and the sorted common shingles with their weights."""
 
+    def __init__(self, n: int, flags: np.ndarray, shingles: np.ndarray, df: np.ndarray, common: float = COMMON, floor: float = FLOOR):
+        self.flags, self.known = flags, shingles
+        self.weights = floor + (1 - floor) * np.clip(np.log(max(n, 2) / df) / math.log(max(2.0, min(n, 1 / common))), 0, 1)
 
-def idf_table(rows: np.ndarray, n: int, floor: float = IDF_FLOOR) -> np.ndarray:
-    """Weight of a shingle for each cell of either row (the larger of its two is its weight)."""
-    excess = np.maximum(1.0, rows - rows.mean(axis=1, keepdims=True))
-    return inverse_frequency(excess, n, floor).astype(np.float32)
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h))
+        if len(self.known) and len(h):
+            may = np.flatnonzero(may_be_common(h, self.flags))
+            at = np.minimum(np.searchsorted(self.known, h[may]), len(self.known) - 1)
+            here = self.known[at] == h[may]
+            out[may[here]] = self.weights[at[here]]
+        return out
 
 
-def idf_of(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    a, b = _cells(h, table.shape[1])
-    return np.maximum(table[0][a], table[1][b])
+def common_shingles(texts: DataFrame, k: int = SHINGLE, common: float = COMMON, width: int = WIDTH) -> Idf:
+    """Exact document frequencies of all shingles that a share ``common`` of the texts, and at least two, have."""
+    spark = texts.sparkSession
+    counters, n = sketch_frequencies(texts, k, width)
+    least = max(2, math.ceil(common * n))
+    flags = counters >= least
+    counts = texts.mapInArrow(_count_flagged(k, spark.sparkContext.broadcast(flags)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counts.toArrow()  # at most (mean shingles of a text) / common rows
+    h, df = (np.asarray(found.column(i)) for i in (0, 1))
+    h = h.astype(np.int64).view(U64)
+    order = np.argsort(h)
+    return Idf(n, flags, h[order], df[order].astype(np.float64), common)
 
 
 def _gamma2(u: np.ndarray) -> np.ndarray:
@@ -200,7 +261,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(k: int, bands: int, rows: int, table):
-    """Columns in: doc, text. Out: doc, 128-bit digest of the text, band keys (none for texts without words)."""
+    """Columns in: doc, text. Out: doc, 128-bit digest of the text, its weight, band keys (none for texts without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = table.value
@@ -210,17 +271,18 @@ def _sign(k: int, bands: int, rows: int, table):
                 raw = data.tobytes()
                 digest = [hashlib.blake2b(raw[offs[i] : offs[i + 1]], digest_size=16).digest() for i in range(hi - lo)]
                 d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                count = np.zeros(hi - lo, np.int64)
+                count, total = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
                 keys = np.zeros((0, bands), U64)
                 if len(h):
                     starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                    weight = tf * idf_of(h, idf)
+                    weight = tf * idf(h)
                     keys = band_keys(samples(h, weight, starts, bands * rows), bands, rows)
                     count[text[starts]] = bands
+                    total[text[starts]] = np.add.reduceat(weight, starts)
                 offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
                 yield pa.record_batch(
-                    [b.column(0).slice(lo, hi - lo), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(signed(keys.reshape(-1))))],
-                    names=["doc", "d1", "d2", "bands"],
+                    [b.column(0).slice(lo, hi - lo), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(total), pa.ListArray.from_arrays(offsets, pa.array(signed(keys.reshape(-1))))],
+                    names=["doc", "d1", "d2", "weight", "bands"],
                 )
 
     return run
@@ -235,140 +297,29 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
     return float(low / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - low))
 
 
-def _shingle_ranges(k: int):
-    """Columns in: text. Out: range of hashes, packed distinct shingle hashes of that range and the number of texts that have each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        held: list[np.ndarray] = []
-
-        def dealt() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            at = np.searchsorted(h >> U64(64 - RANGE_BITS), np.arange((1 << RANGE_BITS) + 1, dtype=U64))
-            full = np.flatnonzero(np.diff(at))
-            body = []
-            for i in full:
-                step = np.diff(h[at[i] : at[i + 1]], prepend=U64(0))  # sorted, so small steps; bytes of one place stand together
-                body.append(z.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes() + n[at[i] : at[i + 1]].astype(np.int64).tobytes()))
-            return pa.record_batch([pa.array(full.astype(np.int32)), pa.array(body, pa.binary())], names=["range", "body"])
-
-        for b in batches:
-            for _, _, data, offs in slices(b.column(0)):
-                held.append(weighted_shingles(Words(data, offs), k)[1])
-                if sum(map(len, held)) >= HELD:
-                    yield dealt()
-                    held.clear()
-        if sum(map(len, held)):
-            yield dealt()
-
-    return run
-
-
-def _add_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns in: range, body, by range. Out: the shingle hashes of more than one text with their frequencies; memory holds one range."""
-    d = zstandard.ZstdDecompressor()
-    held: list[np.ndarray] = []
-    last = None
-
-    def summed() -> pa.RecordBatch:
-        m = [len(x) // 2 for x in held]
-        h = np.concatenate([np.cumsum(np.ascontiguousarray(x[:i].view(np.uint8).reshape(8, -1).T).view(U64).reshape(-1), dtype=U64) for x, i in zip(held, m, strict=True)])
-        n = np.concatenate([x[i:].view(np.int64) for x, i in zip(held, m, strict=True)])
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        total = np.add.reduceat(n[order], at)
-        return pa.record_batch([pa.array(signed(h[at][total > 1])), pa.array(total[total > 1])], names=["h", "n"])
-
-    for b in batches:
-        for r, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if held and r != last:
-                yield summed()
-                held.clear()
-            last = r
-            held.append(np.frombuffer(d.decompress(body), U64))
-    if held:
-        yield summed()
-
-
-def common_shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(h, n): the shingles that are in more than one text, with the exact number of texts."""
-    parts = texts.mapInArrow(_shingle_ranges(k), "range int, body binary")
-    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(_add_ranges, "h long, n long")
-
-
-def _shingle_rows(k: int):
-    """Columns in: doc, z. Out: the hash of each distinct shingle of a text, with its doc."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdDecompressor()
-        for b in batches:
-            texts = pa.array([d.decompress(x) for x in b.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in slices(texts):
-                text, h, _ = weighted_shingles(Words(data, offs), k)
-                if len(h):
-                    yield pa.record_batch([pa.array(signed(h)), pa.array(ids[lo:hi][text])], names=["h", "doc"])
-
-    return run
-
-
-def _with_weights(k: int, n: int):
-    """Columns in: doc, z, known (shingles with frequencies over 1). Out: doc, z, f (packed frequencies, by shingle hash), weight of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, d = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        for b in batches:
-            freqs, weights = [], []
-            for i, z in enumerate(b.column(1).to_pylist()):
-                known = b.column(2)[i].values
-                data = np.frombuffer(d.decompress(z), np.uint8)
-                _, h, tf = weighted_shingles(Words(data, np.array([0, len(data)], np.int64)), k)
-                df = np.ones(len(h), np.int64)
-                if known is not None and len(known):
-                    g, m = (known.field(x).to_numpy(zero_copy_only=False) for x in (0, 1))
-                    at = np.minimum(np.searchsorted(h, g.view(U64)), max(len(h) - 1, 0))
-                    here = h[at] == g.view(U64)
-                    df[at[here]] = m[here]
-                freqs.append(c.compress(df.tobytes()))
-                weights.append(float((tf * inverse_frequency(df, n)).sum()))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(freqs, pa.binary()), pa.array(weights, pa.float64())], names=["doc", "z", "f", "weight"])
-
-    return run
-
-
-def with_exact_weights(packed: DataFrame, texts: DataFrame, k: int, n: int) -> DataFrame:
-    """packed(doc, z) with f, the exact document frequencies over all ``texts`` of each text's shingles, and the text's weight."""
-    common = common_shingles(texts, k).select(F.col("h").alias("x"), "n")
-    rows = packed.select("doc", "z").mapInArrow(_shingle_rows(k), "h long, doc long")
-    known = rows.join(common, F.col("h") == F.col("x")).groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("h", "n")).alias("known"))
-    both = packed.join(known, F.col("doc") == F.col("d"), "left").select("doc", "z", "known")
-    return both.mapInArrow(_with_weights(k, n), "doc long, z binary, f binary, weight double")
-
-
-def _verify(k: int, threshold: float, n: int):
-    """Columns in: a, b, za, fa, zb, fb (packed texts and frequencies). Out: a, b, similarity of the pairs that reach the threshold."""
+def _verify(k: int, threshold: float, table):
+    """Columns in: a, b, za, zb (packed texts), best sorted by a. Out: a, b of the pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdDecompressor()
-        last: dict[int, tuple] = {}
+        idf, d = table.value, zstandard.ZstdDecompressor()
+        last: tuple = (None, None)
 
-        def features(z: bytes, f: bytes) -> tuple:
+        def features(z: bytes) -> tuple:
             data = np.frombuffer(d.decompress(z), np.uint8)
             _, h, tf = weighted_shingles(Words(data, np.array([0, len(data)], np.int64)), k)
-            return h, tf * inverse_frequency(np.frombuffer(d.decompress(f), np.int64), n)
+            return h, tf * idf(h)
 
         for b in batches:
-            out = []
-            for x, y, zx, fx, zy, fy in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if x not in last:
-                    last = {x: features(zx, fx)}
-                s = weighted_jaccard(*last[x], *features(zy, fy))
-                if s >= threshold:
-                    out.append((x, y, s))
-            if out:
-                a, c, s = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+            left, right = [], []
+            for i in range(b.num_rows):
+                x, y, zx, zy = (b.column(c)[i] for c in range(4))
+                if last[0] != (x, zx):
+                    last = ((x, zx), features(zx.as_py()))
+                if weighted_jaccard(*last[1], *features(zy.as_py())) >= threshold:
+                    left.append(x.as_py())
+                    right.append(y.as_py())
+            if left:
+                yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -381,66 +332,78 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array([c.compress((x or "").encode()) for x in part.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
 
 
-def verified(pairs: DataFrame, packed: DataFrame, k: int, threshold: float, n: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold; packed(doc, z, f) holds the compressed texts of all candidates and their frequencies."""
-    with_b = pairs.join(packed.select(F.col("doc").alias("b"), F.col("z").alias("zb"), F.col("f").alias("fb")), "b")
-    both = with_b.join(packed.select(F.col("doc").alias("a"), F.col("z").alias("za"), F.col("f").alias("fa")), "a")
-    dealt = both.select("a", "b", "za", "fa", "zb", "fb").repartition(max(16, shuffle_width(pairs.sparkSession)))  # evenly, as pairs cost CPU and not bytes
-    return dealt.mapInArrow(_verify(k, threshold, n), "a long, b long, similarity double")
+def packed_texts(live: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, z): compressed texts of the ids, and of few others, without a shuffle."""
+    return may_hold(live, "doc", id_filter(ids), "wanted").where("wanted").select("doc", "text").mapInArrow(_pack, "doc long, z binary")
+
+
+def verified(pairs: DataFrame, packed: DataFrame, k: int, threshold: float, table) -> DataFrame:
+    """The pairs (a, b) whose texts reach the threshold; packed(doc, z) holds the compressed texts of all of them.
+
+    Both joins are sort-merge joins at every size: a text of many pairs is split
+    over tasks there, and the pairs of one text arrive next to each other.
+    """
+    with_b = pairs.select("a", "b").join(packed.select(F.col("doc").alias("x"), F.col("z").alias("zb")).hint("merge"), F.col("b") == F.col("x")).select("a", "b", "zb")
+    both = with_b.join(packed.select(F.col("doc").alias("y"), F.col("z").alias("za")).hint("merge"), F.col("a") == F.col("y"))
+    return both.select("a", "b", "za", "zb").mapInArrow(_verify(k, threshold, table), "a long, b long")
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """(key, rep, head) of the buckets with several texts; the head is the smallest."""
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("z")).where("head < z").select(redeal(F.col("key")).alias("k"), "head")
-    return keys.join(heads.hint("shuffle_hash"), redeal(F.col("key")) == F.col("k")).select("key", "rep", "head")
+    """keys(key, rep, weight) of the buckets with several texts, with the smallest, the head, and its weight."""
+    heads = keys.groupBy("key").agg(F.min(F.struct("rep", "weight")).alias("x"), F.max("rep").alias("z")).where("x.rep < z")
+    heads = heads.select(redeal(F.col("key")).alias("k"), F.col("x.rep").alias("head"), F.col("x.weight").alias("head_weight"))
+    return keys.join(heads.hint("merge"), redeal(F.col("key")) == F.col("k")).select("key", "rep", "weight", "head", "head_weight")
+
+
+def _weights_allow(a: Column, b: Column, threshold: float) -> Column:
+    return F.least(a, b) >= F.lit(threshold - 1e-6) * F.greatest(a, b)
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """Each text of a bucket with the bucket's head: distinct (a, b), a < b."""
-    return members.where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+def star_pairs(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Each text of a bucket with the bucket's head, where their weights let them be near: distinct (a, b), a < b."""
+    near = members.where((F.col("rep") > F.col("head")) & _weights_allow(F.col("weight"), F.col("head_weight"), threshold))
+    return near.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, rep, comp) in buckets of several classes, without the heads that the star has tested."""
+    """(key, rep, weight, comp) in buckets of several classes, without the heads that the star has tested."""
     lab = labels.select(F.col("node").alias("n"), "comp")
-    named = members.join(lab, F.col("rep") == F.col("n"), "left").select("key", "rep", "head", F.coalesce("comp", "rep").alias("comp"))
+    named = members.join(lab, F.col("rep") == F.col("n"), "left").select("key", "rep", "weight", "head", F.coalesce("comp", "rep").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(redeal(F.col("key")).alias("k"))
-    return named.join(mixed.hint("shuffle_hash"), redeal(F.col("key")) == F.col("k")).where("rep <> head").select("key", "rep", "comp")
+    return named.join(mixed, redeal(F.col("key")) == F.col("k")).where("rep <> head").select("key", "rep", "weight", "comp")
 
 
-def _own_shingles(k: int, n: int):
-    """Columns in: doc, z, f. Out: a row per distinct shingle: 32 bits of its hash, doc, its weight in 64ths rounded down."""
+def _own_shingles(k: int, table):
+    """Columns in: doc, z. Out: a row per distinct shingle: its hash, doc, its weight in 64ths rounded down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdDecompressor()
+        idf, d = table.value, zstandard.ZstdDecompressor()
         for b in batches:
             texts = pa.array([d.decompress(x) for x in b.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())
-            ids, freqs = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
+            ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offs in slices(texts):
                 text, h, tf = weighted_shingles(Words(data, offs), k)
                 if len(h):
-                    df = np.frombuffer(b"".join(d.decompress(x) for x in freqs[lo:hi]), np.int64)
-                    w = np.floor(tf * inverse_frequency(df, n) * 64)
-                    yield pa.record_batch([pa.array(signed(h).astype(np.int32)), pa.array(ids[lo:hi][text]), pa.array(w.astype(np.int32))], names=["h", "doc", "w"])
+                    yield pa.record_batch([pa.array(signed(h)), pa.array(ids[lo:hi][text]), pa.array(np.floor(tf * idf(h) * 64).astype(np.int32))], names=["h", "doc", "w"])
 
     return run
 
 
-def own_weights(members: DataFrame, packed: DataFrame, k: int, n: int) -> DataFrame:
+def own_weights(members: DataFrame, packed: DataFrame, k: int, table) -> DataFrame:
     """(o, own): per text the weight of the shingles that no other member has; never too high."""
     ids = members.select(F.col("rep").alias("r")).distinct()
-    rows = packed.join(ids, F.col("doc") == F.col("r")).select("doc", "z", "f").mapInArrow(_own_shingles(k, n), "h int, doc long, w int")
+    rows = packed.join(ids, F.col("doc") == F.col("r")).select("doc", "z").mapInArrow(_own_shingles(k, table), "h long, doc long, w int")
     alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("w").alias("w")).where("n = 1")
     return alone.groupBy(F.col("doc").alias("o")).agg((F.sum("w") / 64.0).alias("own"))
 
 
-def bounded_members(members: DataFrame, weights: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+def bounded_members(members: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     """(key, rep, comp, weight, own) of the members that can be near to any other."""
-    known = weights.select(F.col("rep").alias("r"), "weight").join(own, F.col("r") == F.col("o"), "left").select("r", "weight", F.coalesce("own", F.lit(0.0)).alias("own"))
-    return members.join(known, F.col("rep") == F.col("r")).where(F.col("weight") - F.col("own") >= F.lit(threshold - 1e-6) * F.col("weight")).select("key", "rep", "comp", "weight", "own")
+    known = members.join(own, F.col("rep") == F.col("o"), "left").select("key", "rep", "comp", "weight", F.coalesce("own", F.lit(0.0)).alias("own"))
+    return known.where(F.col("weight") - F.col("own") >= F.lit(threshold - 1e-6) * F.col("weight"))
 
 
-def _may_reach(threshold: float):
+def _may_reach(threshold: float) -> Column:
     """The bound for two members, the second with prefix x_."""
     overlap = F.least(F.col("weight") - F.col("own"), F.col("x_weight") - F.col("x_own"))
     union = F.greatest(F.col("weight") + F.col("x_own"), F.col("x_weight") + F.col("own"))
@@ -451,7 +414,7 @@ def clean_star_pairs(bounded: DataFrame, threshold: float) -> DataFrame:
     """Each member with the bucket's text that has the smallest share of own shingles: what copies of one text are copies of."""
     best = bounded.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("weight")).alias("share"), "rep", "comp", "weight", "own")).alias("x"))
     x = best.select(redeal(F.col("key")).alias("x_key"), *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("rep", "comp", "weight", "own")])
-    near = bounded.join(x.hint("shuffle_hash"), (redeal(F.col("key")) == F.col("x_key")) & _may_reach(threshold))
+    near = bounded.join(x, (redeal(F.col("key")) == F.col("x_key")) & _may_reach(threshold))
     return near.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
@@ -463,7 +426,7 @@ def relabelled(bounded: DataFrame, labels: DataFrame) -> DataFrame:
 def cross_pairs(bounded: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b) of one bucket and two classes that the bound does not rule out, each from its first shared bucket."""
     still = bounded.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(redeal(F.col("key")).alias("k"))
-    live = bounded.join(still.hint("shuffle_hash"), redeal(F.col("key")) == F.col("k")).select("key", "rep", "comp", "weight", "own")
+    live = bounded.join(still, redeal(F.col("key")) == F.col("k")).select("key", "rep", "comp", "weight", "own")
     places = live.groupBy(F.col("rep").alias("p")).agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one key a band
     live = live.join(places, F.col("rep") == F.col("p")).drop("p")
     clean = F.col("own") <= F.lit((1 - threshold) / (1 + threshold) + 1e-6) * F.col("weight")
@@ -474,43 +437,63 @@ def cross_pairs(bounded: DataFrame, threshold: float) -> DataFrame:
     return y.join(x, on).select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b")).distinct()
 
 
+def _classes(live: DataFrame, signs: DataFrame, table, k: int, threshold: float) -> DataFrame:
+    """(node, comp) of the texts that are near to another; signs(rep, weight, bands) has a row per different text."""
+    keys = signs.select("rep", "weight", F.explode("bands").alias("key"))
+    members = materialize(shared_buckets(keys), "members")
+    pairs, found = materialize_counted(star_pairs(members, threshold), "pairs")
+    if not found["rows"]:
+        discard(pairs)
+        pairs = None
+    ids = members.select("rep").distinct()
+    packed = materialize(packed_texts(live, ids), "packed")
+    star = materialize(verified(pairs, packed, k, threshold, table), "star") if pairs is not None else materialize(members.select(F.col("head").alias("a"), F.col("rep").alias("b")).limit(0), "star")
+    labels = materialize(component_labels(star, "a", "b"), "labels")
+    open_, left = materialize_counted(unsettled(members, labels), "unsettled")
+    discard(members, pairs)
+    if left["rows"]:
+        bounded, left = materialize_counted(bounded_members(open_, own_weights(open_, packed, k, table), threshold), "bounded")
+        if left["rows"]:
+            clean = materialize(verified(clean_star_pairs(bounded, threshold), packed, k, threshold, table), "clean")
+            links = star.unionByName(clean)
+            again = materialize(component_labels(links, "a", "b"), "labels")
+            rest, more = materialize_counted(verified(cross_pairs(relabelled(bounded, again), threshold), packed, k, threshold, table), "rest")
+            discard(labels)
+            labels = again
+            if more["rows"]:
+                labels = materialize(component_labels(links.unionByName(rest), "a", "b"), "labels")
+                discard(again)
+            discard(clean, rest)
+        discard(bounded)
+    discard(open_, packed, star)
+    return labels
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id, text_id, n_links): class, smallest id of the same text, and verified links of that text; a row per input row."""
+    """(id, class_id, text_id): the smallest id of the class and of the same text; a row per input row."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    counters, n = document_frequencies(base.select("text"), k)
-    table = spark.sparkContext.broadcast(idf_table(counters, n))
+    table = spark.sparkContext.broadcast(common_shingles(base.select("text"), k))
     live = base.where("doc is not null")
-    signed_ = materialize(live.mapInArrow(_sign(k, bands, rows, table), "doc long, d1 long, d2 long, bands array<long>"), "signatures")
-    texts = signed_.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"))
-    texts = materialize(texts, "texts")
-    keys = texts.select("rep", F.explode("bands").alias("key"))
-    members = materialize(shared_buckets(keys), "members")
-    ids = members.select(F.col("rep").alias("r")).distinct()
-    packed = live.mapInArrow(_pack, "doc long, z binary").join(ids, F.col("doc") == F.col("r"), "left_semi")
-    bare = materialize(packed, "packed")
-    packed = materialize(with_exact_weights(bare, base.select("text"), k, n), "candidates")
-    discard(bare)
-    weights = packed.groupBy(F.col("doc").alias("rep")).agg(F.max("weight").alias("weight"))
-    star = materialize(verified(star_pairs(members), packed, k, threshold, n), "star")
-    labels = materialize(component_labels(star, "a", "b"), "labels")
-    open_ = materialize(unsettled(members, labels), "unsettled")
-    bounded = materialize(bounded_members(open_, weights, own_weights(open_, packed, k, n), threshold), "bounded")
-    clean = materialize(verified(clean_star_pairs(bounded, threshold), packed, k, threshold, n), "clean")
-    labels = materialize(component_labels(star.unionByName(clean), "a", "b"), "labels")
-    rest = materialize(verified(cross_pairs(relabelled(bounded, labels), threshold), packed, k, threshold, n), "rest")
-    links = materialize(star.unionByName(clean).unionByName(rest).select("a", "b").distinct(), "links")
-    final = labels if rest.isEmpty() else materialize(component_labels(links, "a", "b"), "labels")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    member = signed_.select("doc", "d1", "d2").join(texts.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), "rep"), (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2")))
-    known = final.join(degree.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "comp", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = member.join(known, F.col("rep") == F.col("node"), "left").select(F.col("doc").alias(id_col), F.coalesce("comp", "rep").alias("class_id"), F.col("rep").alias("text_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    nulls = base.where("doc is null").select(F.col("doc").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"), F.lit(0).cast("long").alias("n_links"))
+    signed_ = materialize(live.mapInArrow(_sign(k, bands, rows, table), "doc long, d1 long, d2 long, weight double, bands array<long>"), "signatures")
+    texts = materialize(signed_.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "texts")
+    labels = _classes(live, texts.select("rep", "weight", "bands"), table, k, threshold)
+    named = texts.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), "rep").join(labels, F.col("rep") == F.col("node"), "left").select("x1", "x2", "rep", F.coalesce("comp", "rep").alias("comp"))
+    member = signed_.select("doc", "d1", "d2").join(named, (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2")))
+    out = materialize(member.select(F.col("doc").alias(id_col), F.col("comp").alias("class_id"), F.col("rep").alias("text_id")), "classes")
+    discard(signed_, texts, labels)
+    nulls = base.where("doc is null").select(F.col("doc").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"))
     return out.unionByName(nulls)
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each class, and rows without an id."""
+    """The rows of ``docs`` that stay: the smallest id of each class, and rows without an id.
+
+    Only rows that the filter of the leaving ids does not clear meet these ids in a join; the others stay where they are.
+    """
     classes = near_duplicate_classes(docs, id_col, text_col, **options)
     gone = materialize(classes.where(F.col(id_col) > F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    asked = materialize(id_filter(gone), "filter")
+    rows = may_hold(docs.withColumn("__key", F.col(id_col).cast("long")), "__key", asked, "__may")
+    left = rows.where("__may").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    return rows.where("not __may").unionByName(left).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -411,17 +411,30 @@ def test_minhash_classes(docs, empty):
     assert 1 not in ids and 0 in ids and None in ids and 15 not in ids
 
 
-def test_common_shingles_are_counted_exactly(docs, empty, monkeypatch):
-    monkeypatch.setattr(minhash, "HELD", 64)  # several ranges a task
-    got = sorted(r.n for r in minhash.common_shingles(docs.select("text"), 5).collect())
-    df = collections.Counter(x for r in docs.collect() for x in counts(r.text))
-    assert got == sorted(n for n in df.values() if n > 1)
-    assert minhash.common_shingles(empty.select("text"), 5).count() == 0
+def idf_by_count(texts, common=minhash.COMMON, floor=minhash.FLOOR):
+    """Weights of all shingles from plain counts: texts is a list of shingle counters, one per row."""
+    n, df = len(texts), collections.Counter(x for c in texts for x in c)
+    scale = np.log(max(2.0, min(n, 1 / common)))
+    return {x: 1.0 if m < max(2, np.ceil(common * n)) else floor + (1 - floor) * np.clip(np.log(n / m) / scale, 0, 1) for x, m in df.items()}
 
 
-def test_minhash_decides_by_exact_frequencies(spark, monkeypatch):
-    sketch = minhash.document_frequencies
-    monkeypatch.setattr(minhash, "document_frequencies", lambda texts, k: sketch(texts, k, width=minhash.CHUNK))  # as crowded as for a large corpus
+def weighted_similarity(x, y, idf):
+    return sum(idf[s] * min(x[s], y[s]) for s in x) / max(1e-9, sum(idf[s] * max(x[s], y[s]) for s in x | y))
+
+
+@pytest.mark.parametrize("width", [minhash.WIDTH, minhash.CHUNK])  # the second as crowded as for a very large corpus
+def test_common_shingles_are_counted_exactly(docs, empty, monkeypatch, width):
+    monkeypatch.setattr(minhash, "HELD", 64)  # several flushes a task
+    for common in (1 / 1024, 0.1):
+        got = minhash.common_shingles(docs.select("text"), 5, common, width)
+        df = collections.Counter(x for r in docs.collect() for x in counts(r.text))
+        least = max(2, np.ceil(common * docs.count()))
+        want = minhash.Idf(docs.count(), got.flags, np.zeros(0, np.uint64), np.array([n for n in df.values() if n >= least], float), common)
+        assert sorted(got.weights) == sorted(want.weights)
+    assert len(minhash.common_shingles(empty.select("text"), 5, width=width).known) == 0
+
+
+def test_minhash_decides_by_exact_frequencies(spark):
     words = lambda name, n: " ".join(f"{name}x{j}" for j in range(n))
     rows = []
     for p, shared in enumerate(range(470, 1120, 26)):  # similarity from 0.7 to 0.85
@@ -431,17 +444,63 @@ def test_minhash_decides_by_exact_frequencies(spark, monkeypatch):
         rows += [(200 + 2 * p + i, words(f"c{p}", shared + 4) + " " + words(f"u{p}y{i}", 100)) for i in range(2)]
     got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = {i: counts(t) for i, t in rows}
-    df = collections.Counter(x for c in texts.values() for x in c)
-    idf = {x: 0.8 + 0.2 * (1 - np.log(m) / np.log(len(rows))) for x, m in df.items()}
+    idf = idf_by_count(list(texts.values()))
     close = 0
     for a in sorted(x for x in texts if x < 1000 and x % 2 == 0):
-        x, y = texts[a], texts[a + 1]
-        j = sum(idf[s] * min(x[s], y[s]) for s in x) / sum(idf[s] * max(x[s], y[s]) for s in x | y)
+        j = weighted_similarity(texts[a], texts[a + 1], idf)
         assert (got[a] == got[a + 1]) == (j >= 0.8), (a, j)
         close += 0.7 <= j <= 0.85
     assert close > 20
 
 
+def test_minhash_equals_brute_force_over_a_table(spark):
+    """Classes of sf0.001 and sf0.01 against all pairs by weighted Jaccard similarity: recall and precision."""
+    for sf in ("sf0.001", "sf0.01"):
+        df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        rows = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+        texts = {i: counts(t) for i, t in rows.items()}
+        idf = idf_by_count(list(texts.values()))
+        first = {}
+        for i in sorted(rows):
+            first.setdefault(rows[i], i)
+        holders = collections.defaultdict(list)
+        for i in first.values():
+            for x in texts[i]:
+                holders[x].append(i)
+        label = {i: i for i in first.values()}
+
+        def root(i):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        links = {(a, b) for v in holders.values() for a in v for b in v if a < b}
+        near = [(a, b) for a, b in links if weighted_similarity(texts[a], texts[b], idf) >= 0.8]
+        for a, b in near:
+            a, b = root(a), root(b)
+            label[max(a, b)] = min(a, b)
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df).collect()}
+        found = sum(got[a] == got[b] for a, b in near)
+        assert found >= 0.9 * len(near)
+        want = {i: root(first[rows[i]]) for i in rows}
+        assert got == want, [(i, got[i], want[i]) for i in got if got[i] != want[i]][:5]
+
+
+def test_a_group_of_edited_copies_stays_together(spark):
+    """A third of all rows are copies of one text with a few words changed: its shingles are common, yet they decide."""
+    rng = np.random.default_rng(8)
+    base = [f"g{j}" for j in range(300)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for p in rng.integers(0, 300, 3):
+            w[p] = f"e{i}y{p}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, passage(100 + i, 120)) for i in range(300)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[i] for i in range(150)}) <= 3 and all(got[i] == i for i in got if i >= 1000)
+
+
 def test_icws_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -454,13 +513,12 @@ def test_icws_estimates_weighted_jaccard():
 
 
 def test_cross_pairs_finds_what_the_star_misses(spark):
-    keys = spark.createDataFrame([(1, 10), (1, 20), (1, 30), (1, 40), (1, 50), (2, 10)], "key long, rep long")
+    keys = spark.createDataFrame([(1, 10, 100.0), (1, 20, 100.0), (1, 30, 100.0), (1, 40, 100.0), (1, 50, 100.0), (1, 60, 79.0), (2, 10, 100.0)], "key long, rep long, weight double")
     none = spark.createDataFrame([], "node long, comp long")
     shared = minhash.shared_buckets(keys)
-    assert {tuple(r) for r in minhash.star_pairs(shared).collect()} == {(10, x) for x in (20, 30, 40, 50)}
-    weights = spark.createDataFrame([(x, 100.0) for x in (10, 20, 30, 40, 50)], "rep long, weight double")
-    own = spark.createDataFrame([(30, 2.0), (40, 9.0), (50, 30.0)], "o long, own double")
-    bounded = minhash.bounded_members(minhash.unsettled(shared, none), weights, own, 0.8)
+    assert {tuple(r) for r in minhash.star_pairs(shared, 0.8).collect()} == {(10, x) for x in (20, 30, 40, 50)}  # 60 is too light
+    own = spark.createDataFrame([(30, 2.0), (40, 9.0), (50, 30.0), (60, 20.0)], "o long, own double")
+    bounded = minhash.bounded_members(minhash.unsettled(shared, none), own, 0.8)
     assert {r.rep for r in bounded.collect()} == {20, 30, 40}
     assert {tuple(r) for r in minhash.clean_star_pairs(bounded, 0.8).collect()} == {(20, 30), (20, 40)}
     assert {tuple(r) for r in minhash.cross_pairs(bounded, 0.8).collect()} == {(20, 30), (20, 40), (30, 40)}
