@@ -23,14 +23,15 @@
    ids is asked where the texts are read, and each text follows its pairs, sorted
    by their first text, so that a head is split into shingles once a task.
    Buckets that still hold texts of several classes are then searched across
-   classes, first from the text with the smallest share of shingles of its own,
-   then in full, so a link that a star missed is found. That search does not
-   form all pairs: shingles that no other text of these buckets has bound the
-   similarity. With W the weight of a text and U that of its own shingles,
-   J(a, b) <= min(Wa - Ua, Wb - Ub) / max(Wa + Ub, Wb + Ua); so two texts that
-   both have U > W (1 - t) / (1 + t) never reach t, and a pair needs one text
-   below that share. Edited copies of one text have many shingles of their own
-   and are settled by the bound.
+   classes, so a link that a star missed is found, without forming all pairs.
+   A shingle is rare if at most ``RARE`` members of these buckets have it. Pairs
+   that share a rare shingle come from an index of the rare shingles, whose lists
+   are short by definition. For all others, with W the weight of a text and U that
+   of its rare shingles, J(a, b) <= min(Wa - Ua, Wb - Ub) / max(Wa + Ub, Wb + Ua);
+   so two texts that both have U > W (1 - t) / (1 + t) never reach t, and a pair
+   needs one text below that share. Edited copies of one text have many rare
+   shingles and are settled by the bound. Each bucket is searched first from the
+   text with the smallest share of them, then in full.
 4. Links become classes by star contraction. Equal texts are settled first by a
    digest: only the smallest id of each text takes part.
 
@@ -64,7 +65,7 @@ BANDS, ROWS = 12, 3
 WIDTH, CHUNK = 1 << 20, 1 << 12
 COMMON, FLOOR = 1 / 1024, 0.7
 _TABLE = 1 << 16
-HELD = 1 << 20
+HELD, RARE = 1 << 20, 16
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -389,29 +390,49 @@ def _own_shingles(k: int, table):
     return run
 
 
-def own_weights(members: DataFrame, packed: DataFrame, k: int, table) -> DataFrame:
-    """(o, own): per text the weight of the shingles that no other member has; never too high."""
+def rare_shingles(members: DataFrame, packed: DataFrame, k: int, table, rare: int = RARE) -> DataFrame:
+    """(h, doc, w, n): the shingles that at most ``rare`` of the members have, a row per member, with their number."""
     ids = members.select(F.col("rep").alias("r")).distinct()
     rows = packed.join(ids, F.col("doc") == F.col("r")).select("doc", "z").mapInArrow(_own_shingles(k, table), "h long, doc long, w int")
-    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("w").alias("w")).where("n = 1")
-    return alone.groupBy(F.col("doc").alias("o")).agg((F.sum("w") / 64.0).alias("own"))
+    few = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare).select(redeal(F.col("h")).alias("x"), "n")
+    return rows.join(few.hint("merge"), redeal(F.col("h")) == F.col("x")).select("h", "doc", "w", "n")
+
+
+def rare_weights(found: DataFrame) -> DataFrame:
+    """(o, own): per text the weight of its rare shingles, never too high."""
+    return found.groupBy(F.col("doc").alias("o")).agg((F.sum("w") / 64.0).alias("own"))
+
+
+def rare_pairs(found: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of members that share a rare shingle."""
+    lists = found.where("n > 1").groupBy("h").agg(F.sort_array(F.collect_set("doc")).alias("docs")).select("docs", F.posexplode("docs").alias("i", "a"))
+    return lists.select("a", F.explode(F.expr("slice(docs, i + 2, size(docs))")).alias("b")).distinct()
+
+
+def across_classes(pairs: DataFrame, members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of different classes whose weights let them be near."""
+    lab = labels.select(F.col("node").alias("n"), F.col("comp").alias("c"))
+    known = members.select("rep", "weight").distinct().join(lab, F.col("rep") == F.col("n"), "left").select("rep", "weight", F.coalesce("c", "rep").alias("comp"))
+    a, b = (known.select(*[F.col(c).alias(f"{s}_{c}") for c in known.columns]) for s in "xy")
+    both = pairs.join(a, F.col("a") == F.col("x_rep")).join(b, F.col("b") == F.col("y_rep"))
+    return both.where((F.col("x_comp") != F.col("y_comp")) & _weights_allow(F.col("x_weight"), F.col("y_weight"), threshold)).select("a", "b")
 
 
 def bounded_members(members: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """(key, rep, comp, weight, own) of the members that can be near to any other."""
+    """(key, rep, comp, weight, own) of the members that can be near to another with which they share no rare shingle."""
     known = members.join(own, F.col("rep") == F.col("o"), "left").select("key", "rep", "comp", "weight", F.coalesce("own", F.lit(0.0)).alias("own"))
     return known.where(F.col("weight") - F.col("own") >= F.lit(threshold - 1e-6) * F.col("weight"))
 
 
 def _may_reach(threshold: float) -> Column:
-    """The bound for two members, the second with prefix x_."""
+    """The bound for two members that share no rare shingle, the second with prefix x_."""
     overlap = F.least(F.col("weight") - F.col("own"), F.col("x_weight") - F.col("x_own"))
     union = F.greatest(F.col("weight") + F.col("x_own"), F.col("x_weight") + F.col("own"))
     return (F.col("comp") != F.col("x_comp")) & (overlap >= F.lit(threshold - 1e-6) * union)
 
 
 def clean_star_pairs(bounded: DataFrame, threshold: float) -> DataFrame:
-    """Each member with the bucket's text that has the smallest share of own shingles: what copies of one text are copies of."""
+    """Each member with the bucket's text that has the smallest share of rare shingles: what copies of one text are copies of."""
     best = bounded.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("weight")).alias("share"), "rep", "comp", "weight", "own")).alias("x"))
     x = best.select(redeal(F.col("key")).alias("x_key"), *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("rep", "comp", "weight", "own")])
     near = bounded.join(x, (redeal(F.col("key")) == F.col("x_key")) & _may_reach(threshold))
@@ -452,19 +473,19 @@ def _classes(live: DataFrame, signs: DataFrame, table, k: int, threshold: float)
     open_, left = materialize_counted(unsettled(members, labels), "unsettled")
     discard(members, pairs)
     if left["rows"]:
-        bounded, left = materialize_counted(bounded_members(open_, own_weights(open_, packed, k, table), threshold), "bounded")
-        if left["rows"]:
-            clean = materialize(verified(clean_star_pairs(bounded, threshold), packed, k, threshold, table), "clean")
-            links = star.unionByName(clean)
-            again = materialize(component_labels(links, "a", "b"), "labels")
-            rest, more = materialize_counted(verified(cross_pairs(relabelled(bounded, again), threshold), packed, k, threshold, table), "rest")
-            discard(labels)
-            labels = again
-            if more["rows"]:
-                labels = materialize(component_labels(links.unionByName(rest), "a", "b"), "labels")
-                discard(again)
-            discard(clean, rest)
-        discard(bounded)
+        found = materialize(rare_shingles(open_, packed, k, table), "rare")
+        bounded = materialize(bounded_members(open_, rare_weights(found), threshold), "bounded")
+        clean = materialize(verified(clean_star_pairs(bounded, threshold), packed, k, threshold, table), "clean")
+        links = star.unionByName(clean)
+        again = materialize(component_labels(links, "a", "b"), "labels")
+        more = across_classes(rare_pairs(found), open_, again, threshold).unionByName(cross_pairs(relabelled(bounded, again), threshold)).distinct()
+        rest, size = materialize_counted(verified(more, packed, k, threshold, table), "rest")
+        discard(labels)
+        labels = again
+        if size["rows"]:
+            labels = materialize(component_labels(links.unionByName(rest), "a", "b"), "labels")
+            discard(again)
+        discard(found, bounded, clean, rest)
     discard(open_, packed, star)
     return labels
 

@@ -526,7 +526,20 @@ def test_cross_pairs_finds_what_the_star_misses(spark):
     assert minhash.cross_pairs(minhash.relabelled(bounded, one), 0.8).count() == 0
 
 
+def test_rare_pairs_are_those_that_share_a_short_list(spark):
+    rows = [(1, 10, 64, 2), (1, 20, 64, 2), (2, 10, 64, 3), (2, 30, 64, 3), (2, 20, 64, 3), (3, 40, 64, 1)]
+    found = spark.createDataFrame(rows, "h long, doc long, w int, n long")
+    assert sorted(map(tuple, minhash.rare_pairs(found).collect())) == [(10, 20), (10, 30), (20, 30)]
+    assert {r.o: r.own for r in minhash.rare_weights(found).collect()} == {10: 2.0, 20: 2.0, 30: 1.0, 40: 1.0}
+    members = spark.createDataFrame([(5, x, 100.0 if x < 30 else 70.0, x) for x in (10, 20, 30)], "key long, rep long, weight double, comp long")
+    none = spark.createDataFrame([], "node long, comp long")
+    pairs = minhash.rare_pairs(found)
+    assert [tuple(r) for r in minhash.across_classes(pairs, members, none, 0.8).collect()] == [(10, 20)]  # 30 is too light
+    assert minhash.across_classes(pairs, members, spark.createDataFrame([(20, 10), (10, 10)], none.schema), 0.8).count() == 0
+
+
 def test_bound_is_never_too_low():
+    """Of texts that share no rare shingle: rare ones are on one side only."""
     rng = np.random.default_rng(4)
     for _ in range(200):
         h = np.arange(40, dtype=np.uint64)
