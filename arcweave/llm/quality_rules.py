@@ -4,21 +4,30 @@ Every document gets a few scores (higher is worse). For each stratum (language)
 and rule a grid of cutoffs is tested on the labelled documents as a holdout: with
 n documents labelled good in the stratum, of which k score above a cutoff, the
 hypothesis "the cutoff rejects more than a share ``risk`` of good documents" is
-refuted if the exact binomial tail P(X <= k | n, risk) is at most
-``delta / tests`` (Clopper-Pearson bound, Bonferroni over strata, rules and grid
-points). Of the refuted ones the cutoff with the best gain on bad documents is
+refuted if the exact binomial tail P(X <= k | n, risk) (Clopper-Pearson bound) is
+at most ``delta / (strata * rules)``. The cutoffs of one rule are a fixed sequence
+from the laxest to the strictest, tested until one is not refuted: that needs no
+split of delta over grid points, and as k only grows along it, the refuted cutoffs
+are those whose own tail is small enough. Strata and rules are corrected for by
+Bonferroni. Of the refuted cutoffs the one with the best gain on bad documents is
 taken, where a good document lost costs ``cost`` bad ones found; ties go to the
-laxer cutoff. A stratum without enough labels gets no cutoff and rejects
-nothing. A document is kept if no cutoff of its stratum is exceeded; with r
-rules the false rejections of a stratum stay below r * risk with confidence
-1 - delta.
+laxer cutoff. A stratum without enough labels (ln(delta / tests) / ln(1 - risk)
+good ones: 297 for four strata) gets no cutoff and rejects nothing. A document is
+kept if no cutoff of its stratum is exceeded; with r rules the false rejections of
+a stratum stay below r * risk with confidence 1 - delta.
+
+Scores are functions of the row, so documents are read once to fit the cutoffs on
+the labelled ones and once to judge; no text is shuffled but that of labelled rows.
 
 Everything is SQL functions: repeated 8-word windows are found inside a row by
 hashing, the binomial tail by a recurrence in log space.
 
 Defined cases: null text has no words (and fails the base rule); a null language
-is a stratum of its own; null or unknown labels are not used; several labels of
-one id count each; repeated rows give repeated results; empty in, empty out.
+is a stratum of its own; labels other than 0 and 1 are not used; several labels of
+one id count each; repeated rows give repeated results; a text of any length is
+one row's expression; other columns, whatever their names, pass or are ignored;
+empty in, empty out, and without labels only the base rule rejects. Ids must be
+castable to long.
 """
 
 from __future__ import annotations
@@ -29,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.words import words_of
-from arcweave.runtime import materialize
+from arcweave.runtime import id_filter, materialize, may_hold
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -42,7 +51,7 @@ GRIDS: dict[str, list[float]] = {
     "repeats": [0.02 * i for i in range(1, 21)],
     "exclaims": [0.05 * i for i in range(1, 20)],
 }
-RISK, DELTA, COST = 0.01, 0.05, 20
+RISK, DELTA, COST = 0.02, 0.05, 20
 
 
 def _let(value: Column, body) -> Column:
@@ -71,35 +80,36 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(n <= window, F.lit(0)).otherwise(_let(hashes, pick)).cast("long")
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc, stratum, base counts, rule scores), one row per input row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(stratum_col).cast("string").alias("stratum"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("words", words_of(F.col("text")))
+def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """``docs`` with a struct ``__q``: doc, stratum, base counts and rule scores."""
+    rows = docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__words", words_of(F.col("__text")))
     bare = lambda c: F.trim(c, F.lit(_SEPARATORS))
-    lines = F.filter(F.split("text", "\n"), lambda s: bare(s) != "")
-    long = F.char_length("text")
-    without = lambda chars: F.char_length(F.translate(F.col("text"), chars, ""))
+    lines = F.filter(F.split("__text", "\n"), lambda s: bare(s) != "")
+    long = F.char_length("__text")
+    without = lambda chars: F.char_length(F.translate(F.col("__text"), chars, ""))
     rows = rows.select(
-        "doc", "th", "stratum",
-        F.size("words").cast("long").alias("n_words"),
-        without(_SEPARATORS).cast("long").alias("word_chars"),
-        (long - without(SYMBOLS)).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        (long - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("caps"),
-        (long - without("!?")).alias("marks"),
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.size("__words").cast("long").alias("__n"),
+        without(_SEPARATORS).cast("long").alias("__chars"),
+        (long - without(SYMBOLS)).cast("long").alias("__symbols"),
+        _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("__lines"),
+        repeated_words(F.col("__words")).alias("__repeats"),
+        (long - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("__caps"),
+        (long - without("!?")).alias("__marks"),
     )
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
-    n = F.col("n_words")
-    return rows.select(
-        "doc", "th", "stratum", "n_words", "word_chars", "n_symbols", F.col("lines.d").cast("long").alias("n_dup_lines"), "n_repeat_words",
-        ((n < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * n)).alias("base_failed"),
-        share(F.col("n_symbols"), F.col("word_chars")).alias("symbols"),
-        share(F.col("caps"), F.col("word_chars")).alias("capitals"),
-        share(F.col("lines.d"), F.col("lines.n")).alias("dup_lines"),
-        share(F.col("n_repeat_words"), n).alias("repeats"),
-        share(F.col("marks"), n).alias("exclaims"),
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)).cast("double")
+    q = F.struct(
+        F.col(id_col).cast("long").alias("doc"), F.col(stratum_col).cast("string").alias("stratum"),
+        F.col("__n").alias("n_words"), F.col("__chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__lines.d").cast("long").alias("n_dup_lines"), F.col("__repeats").alias("n_repeat_words"),
+        ((F.col("__n") < 20) | (F.lit(100) * F.col("__repeats") > F.lit(30) * F.col("__n"))).alias("base_failed"),
+        share("__symbols", "__chars").alias("symbols"),
+        share("__caps", "__chars").alias("capitals"),
+        share("__lines.d", "__lines.n").alias("dup_lines"),
+        share("__repeats", "__n").alias("repeats"),
+        share("__marks", "__n").alias("exclaims"),
     )
+    # a generator of one row: filters on __q stay above it, so the counts are made once a row
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(q)).alias("__q"))
 
 
 def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -140,7 +150,7 @@ def certified_cutoffs(scored: DataFrame, grids: dict[str, list[float]] | None =
         F.sum(F.when(F.col("above") > F.col("i"), F.col("bad")).otherwise(0)).alias("k_bad"),
     )
     strata = counts.select("stratum").distinct().count()
-    limit = F.lit(math.log(delta / (max(1, strata) * sum(len(g) for g in grids.values()))))
+    limit = F.lit(math.log(delta / (max(1, strata) * len(grids))))
     sure = F.when(F.col("k_good") >= F.col("n_good") * F.lit(risk), F.lit(False)).otherwise(log_binomial_tail(F.col("k_good"), F.col("n_good"), risk) <= limit)
     gain = F.col("k_bad") - F.lit(cost) * F.col("k_good")
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("cutoff"))
@@ -148,29 +158,35 @@ def certified_cutoffs(scored: DataFrame, grids: dict[str, list[float]] | None =
     return ok.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select("stratum", "rule", "cutoff", "n_good", "k_good", "k_bad")
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, label_col: str) -> DataFrame:
-    """features() with kept and rules_exceeded, one row per input row."""
+def fitted_cutoffs(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, label_col: str) -> DataFrame:
+    """(__stratum, __cut): per stratum the certified cutoff of each rule, or null; fitted on the labelled documents alone."""
     rules = list(GRIDS)
-    scored = materialize(features(docs, id_col, text_col, stratum_col), "quality")
-    marks = labels.select(F.col(id_col).cast("long").alias("lid"), (F.col(label_col) == 1).alias("good")).where("lid is not null and good is not null")
-    held = scored.where("not base_failed").join(marks, F.col("doc") == F.col("lid")).select("stratum", "good", *rules)
-    cutoffs = certified_cutoffs(held).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules])
-    cutoffs = materialize(cutoffs.withColumnRenamed("stratum", "cs"), "cutoffs")
-    joined = scored.join(cutoffs, F.col("stratum").eqNullSafe(F.col("cs")), "left")
+    marks = labels.select(F.col(id_col).cast("long").alias("__lid"), F.col(label_col).cast("int").alias("__label")).where("__lid is not null and __label in (0, 1)")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
+    asked = materialize(id_filter(marks.select("__lid")), "labelled")
+    rows = may_hold(rows, "doc", asked, "__may").where("__may").drop("__may").join(marks, F.col("doc") == F.col("__lid"))
+    held = materialize(with_features(rows, "doc").where("not __q.base_failed").select("__q.stratum", (F.col("__label") == 1).alias("good"), *[f"__q.{r}" for r in rules]), "held")
+    cut = certified_cutoffs(held).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in rules])
+    return materialize(cut.select(F.col("stratum").alias("__stratum"), F.struct(*rules).alias("__cut")), "cutoffs")
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, label_col: str) -> DataFrame:
+    """``docs`` with __q, __over (number of cutoffs exceeded) and __kept, one row per input row."""
+    cutoffs = fitted_cutoffs(docs, labels, id_col, text_col, stratum_col, label_col)
+    joined = with_features(docs, id_col, text_col, stratum_col).join(cutoffs, F.col("__q.stratum").eqNullSafe(F.col("__stratum")), "left")
     over = F.lit(0)
-    for r in rules:
-        over = over + F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)).cast("int")
-    return joined.withColumn("rules_exceeded", over).withColumn("kept", (~F.col("base_failed")) & (F.col("rules_exceeded") == 0))
+    for r in GRIDS:
+        over = over + F.coalesce(F.col(f"__q.{r}") > F.col(f"__cut.{r}"), F.lit(False)).cast("int")
+    return joined.withColumn("__over", over).withColumn("__kept", (~F.col("__q.base_failed")) & (F.col("__over") == 0))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """Base counts, base_failed, kept, and the number of cutoffs exceeded, one row per input row."""
-    out = verdicts(docs, labels, id_col, text_col, stratum_col, label_col)
-    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rules_exceeded")
+    out = verdicts(docs.select(id_col, text_col, stratum_col), labels, id_col, text_col, stratum_col, label_col)
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return out.select(F.col("__q.doc").alias(id_col), *[f"__q.{c}" for c in base], F.col("__kept").alias("kept"), F.col("__over").alias("rules_exceeded"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    gone = verdicts(docs, labels, id_col, text_col, stratum_col, label_col).where("not kept").select(F.col("doc").alias("__d"), F.col("th").alias("__t")).distinct()
-    th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(materialize(gone, "rejected"), F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (th == F.col("__t")), "left_anti")
+    """The rows of ``docs`` that the rules keep: one pass over the documents, without a shuffle."""
+    return verdicts(docs, labels, id_col, text_col, stratum_col, label_col).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])

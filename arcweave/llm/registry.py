@@ -125,7 +125,7 @@ b as (
 grid(rule, i, cutoff) as (values {grid}),
 scores as (
   select rid, lang, rule, value from (select rid, lang, unnest(['symbols', 'capitals', 'dup_lines', 'repeats', 'exclaims']) as rule, unnest([symbols, capitals, dup_lines, repeats, exclaims]) as value from b)),
-held as (select b.rid, b.lang, l.quality = 1 as good from b join labels l on l.doc_id = b.doc_id where not base_failed and l.quality is not null),
+held as (select b.rid, b.lang, l.quality = 1 as good from b join labels l on l.doc_id = b.doc_id where not base_failed and l.quality in (0, 1)),
 c as (
   select h.lang, g.rule, g.i, g.cutoff, count(*) filter (where good) as n, count(*) filter (where good and s.value > g.cutoff) as k, count(*) filter (where not good and s.value > g.cutoff) as kb
   from held h join scores s on s.rid = h.rid join grid g on g.rule = s.rule group by 1, 2, 3, 4),
@@ -135,7 +135,7 @@ tail as (
   from c where c.k < c.n * {RISK} and c.kb > 0),
 best as (
   select lang, rule, cutoff from tail
-  where p <= {DELTA} / ((select count(distinct coalesce(lang, '?')) from held) * (select count(*) from grid)) and gain > 0
+  where p <= {DELTA} / ((select count(distinct coalesce(lang, '?')) from held) * {len(GRIDS)}) and gain > 0
   qualify row_number() over (partition by lang, rule order by gain desc, cutoff desc) = 1),
 over as (select s.rid, count(*) as n from scores s join best on best.rule = s.rule and best.lang is not distinct from s.lang where s.value > best.cutoff group by s.rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(over.n, 0) = 0 as kept, cast(coalesce(over.n, 0) as integer) as rules_exceeded
