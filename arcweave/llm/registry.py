@@ -33,7 +33,8 @@ def query(fn):
 
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).withColumn("longest_span", F.coalesce(F.array_max(F.transform("spans", lambda x: x["end"] - x["start"])), F.lit(0)).cast("long")).drop("spans")
 
 
 ORACLES["op1_substring_dedup"] = r"""
@@ -41,10 +42,13 @@ with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 win as (select doc_id, s, array_to_string(ws[s:s + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as s from t)),
 seen as (select k, min(doc_id) as lo from win group by k),
 gone as (select distinct doc_id, unnest(range(s, s + 13)) as p from win join seen using (k) where lo < doc_id),
+span as (select doc_id, count(*) as n from (select doc_id, p - row_number() over (partition by doc_id order by p) as island from gone) group by doc_id, island),
+repeats as (select doc_id, count(*) as n, max(n) as longest from span group by doc_id),
 word as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as p from t),
 kept as (select word.doc_id, string_agg(w, ' ' order by word.p) as x, count(*) as n from word anti join gone on gone.doc_id = word.doc_id and gone.p = word.p group by word.doc_id)
-select t.doc_id, len(ws) as n_words, len(ws) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.x, '')) as kept_sha256
-from t left join kept on kept.doc_id = t.doc_id
+select t.doc_id, len(ws) as n_words, len(ws) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.x, '')) as kept_sha256,
+       coalesce(repeats.n, 0) as n_spans, coalesce(repeats.longest, 0) as longest_span
+from t left join kept on kept.doc_id = t.doc_id left join repeats on repeats.doc_id = t.doc_id
 """
 
 

@@ -21,10 +21,19 @@ a document with a smaller id. The steps:
 Equal texts are settled by a digest beforehand: a copy with a larger id is one
 repeat from end to end, and only anchors of texts that differ travel further.
 
+Texts are read three times and move only where they must: a filter of fixed size
+over the ids that have a shared anchor, then over those that have a repeat, is
+asked where the texts are read; the texts it clears are never shuffled.
+
 Defined cases: null text is a document without words; a null id is neither
 earlier nor later than any other, so its row keeps every word and gives none;
 documents under ``length`` words keep all; rows with the same id are no copies
-of each other; an empty table gives an empty result.
+of each other, and are told apart by a 64-bit hash of their texts; a text of any
+length is handled whole, alone if it is longer than a slice; of equal smallest
+hashes in a window the rightmost is the anchor; windows count as equal if 64 bits
+of their own and 16 of their anchor are; other columns, whatever their names,
+pass or are ignored; an empty table gives an empty result. Ids must be castable
+to long.
 """
 
 from __future__ import annotations
@@ -39,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.llm.textvec import Words, grams, signed, slices, spans_inside, text_of
-from arcweave.runtime import materialize, redeal
+from arcweave.runtime import discard, id_filter, materialize, may_hold, redeal
 
 LENGTH = 13
 SEED = 5
@@ -62,7 +71,7 @@ def anchors_of(w: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _emit_anchors(length: int, seed: int):
-    """Columns in: doc, text, th. Out: one row per anchor; ``tag`` is the low half word of th."""
+    """Columns in: doc, text, th. Out: one row per anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,21 +83,20 @@ def _emit_anchors(length: int, seed: int):
                     continue
                 a = anchor[np.r_[True, anchor[1:] != anchor[:-1]]]
                 t = text[a]
-                h = th[lo:hi][t]
                 yield pa.record_batch(
-                    [pa.array(signed(g[a])), pa.array(ids[lo:hi][t]), pa.array(h), pa.array(h.astype(np.int16)), pa.array((a - w.first[t]).astype(np.int32))],
-                    names=["anchor", "doc", "th", "tag", "pos"],
+                    [pa.array(signed(g[a])), pa.array(ids[lo:hi][t]), pa.array(th[lo:hi][t]), pa.array((a - w.first[t]).astype(np.int32))],
+                    names=["anchor", "doc", "th", "pos"],
                 )
 
     return run
 
 
 def _emit_windows(length: int, seed: int):
-    """Columns in: doc, tag, z, pos. Out: the windows of the shared anchors, keyed by window hash and 16 bits of the anchor."""
+    """Columns in: doc, th, z, pos. Out: the windows of the shared anchors, keyed by window hash and 16 bits of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tag = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            ids, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             shared = b.column(3)
             for lo, hi, data, offs in slices(unpack(b.column(2))):
                 w = Words(data, offs)
@@ -107,8 +115,8 @@ def _emit_windows(length: int, seed: int):
                 t = text[at]
                 full = grams(w.hashes, length, salt=1)
                 yield pa.record_batch(
-                    [pa.array(signed(full[at])), pa.array(signed(g[anchor]).astype(np.int16)), pa.array(ids[lo:hi][t]), pa.array(tag[lo:hi][t]), pa.array((at - w.first[t]).astype(np.int32))],
-                    names=["win", "seed", "doc", "tag", "start"],
+                    [pa.array(signed(full[at])), pa.array(signed(g[anchor]).astype(np.int16)), pa.array(ids[lo:hi][t]), pa.array(th[lo:hi][t]), pa.array((at - w.first[t]).astype(np.int32))],
+                    names=["win", "seed", "doc", "th", "start"],
                 )
 
     return run
@@ -144,8 +152,8 @@ def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _emit_kept(length: int, with_text: bool):
-    """Columns in: z, is_copy, starts and others that pass. Out: n_words, n_removed, digest, spans[, text]."""
+def _emit_kept(length: int, with_text: bool, packed: bool):
+    """Columns in: z (text, compressed if ``packed``), is_copy, starts and others that pass. Out: n_words, n_removed, digest, spans[, text]."""
     own = ("z", "is_copy", "starts")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -171,7 +179,7 @@ def _emit_kept(length: int, with_text: bool):
                 part = b.slice(lo, 256)
                 z, copy, starts = (part.column(n) for n in own)
                 done = [
-                    one(d.decompress(z[i].as_py()) if z[i].is_valid else b"", copy[i].as_py(), starts[i].values.to_numpy(zero_copy_only=False) if starts[i].is_valid else None)
+                    one((d.decompress(z[i].as_py()) if packed else z[i].as_py()) if z[i].is_valid else b"", copy[i].as_py(), starts[i].values.to_numpy(zero_copy_only=False) if starts[i].is_valid else None)
                     for i in range(part.num_rows)
                 ]
                 made = list(zip(*done, strict=True))
@@ -191,41 +199,50 @@ def _schema(df: DataFrame, drop: tuple[str, ...]) -> str:
 
 
 def later_copies(base: DataFrame) -> DataFrame:
-    """(cd, ct): id and tag of the rows whose text a smaller id has as a whole."""
-    digests = base.where("doc is not null and text is not null").select(F.sha2("text", 256).alias("sha"), "doc", "tag")
-    firsts = digests.groupBy("sha").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.col("sha").alias("s"), "lo")
-    copies = digests.join(firsts, F.col("sha") == F.col("s")).where("doc > lo")
-    return materialize(copies.select(F.col("doc").alias("cd"), F.col("tag").alias("ct")).distinct(), "copies")
+    """(cd, ct): id and text hash of the rows whose text a smaller id has as a whole."""
+    digests = base.where("doc is not null and text is not null").select(F.sha2("text", 256).alias("sha"), "doc", "th")
+    firsts = digests.groupBy("sha").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(F.reverse("sha").alias("s"), "lo")
+    copies = digests.join(firsts, F.reverse("sha") == F.col("s")).where("doc > lo")  # reversed, so both sides have an exchange of their own and a hot text can be split
+    return materialize(copies.select(F.col("doc").alias("cd"), F.col("th").alias("ct")).distinct(), "copies")
 
 
 def shared_seeds(base: DataFrame, copies: DataFrame, length: int, seed: int) -> DataFrame:
     """(sd, st, pos): per document the places of the anchors that a different text shares; later copies are left out."""
-    found = base.where("doc is not null").select("doc", "text", "th").mapInArrow(_emit_anchors(length, seed), "anchor long, doc long, th long, tag short, pos int")
+    found = base.where("doc is not null").select("doc", "text", "th").mapInArrow(_emit_anchors(length, seed), "anchor long, doc long, th long, pos int")
     shared = found.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select(redeal(F.col("anchor")).alias("a"))
-    seeds = found.drop("th").join(shared.hint("shuffle_hash"), redeal(F.col("anchor")) == F.col("a")).groupBy("doc", "tag").agg(F.collect_set("pos").alias("pos"))
-    seeds = seeds.join(copies, (F.col("doc") == F.col("cd")) & (F.col("tag") == F.col("ct")), "left_anti")
-    return materialize(seeds.select(F.col("doc").alias("sd"), F.col("tag").alias("st"), "pos"), "seeds")
+    seeds = found.join(shared.hint("shuffle_hash"), redeal(F.col("anchor")) == F.col("a")).groupBy("doc", "th").agg(F.collect_set("pos").alias("pos"))
+    seeds = seeds.join(copies, (F.col("doc") == F.col("cd")) & (F.col("th") == F.col("ct")), "left_anti")
+    return materialize(seeds.select(F.col("doc").alias("sd"), F.col("th").alias("st"), "pos"), "seeds")
+
+
+def repeated_starts(base: DataFrame, seeds: DataFrame, length: int, seed: int) -> DataFrame:
+    """(hd, ht, starts): per document the windows that start in an earlier document too."""
+    live = may_hold(base.select("doc", "th", "text"), "doc", id_filter(seeds.select("sd")), "wanted").where("wanted").drop("wanted")
+    packed = live.mapInArrow(_pack_texts, "doc long, th long, z binary")
+    windows = packed.join(seeds.hint("merge"), (F.col("doc") == F.col("sd")) & (F.col("th") == F.col("st"))).select("doc", "th", "z", "pos")
+    windows = windows.mapInArrow(_emit_windows(length, seed), "win long, seed short, doc long, th long, start int")
+    first = windows.groupBy("win", "seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(redeal(F.col("win")).alias("w"), F.col("seed").alias("s"), "lo")
+    hits = windows.join(first.hint("shuffle_hash"), (redeal(F.col("win")) == F.col("w")) & (F.col("seed") == F.col("s"))).where("lo < doc")
+    return materialize(hits.groupBy(F.col("doc").alias("hd"), F.col("th").alias("ht")).agg(F.collect_set("start").alias("starts")), "hits")
 
 
 def keep_unrepeated(base: DataFrame, length: int, seed: int, with_text: bool) -> DataFrame:
     """base(doc, text, ...): the other columns pass through."""
+    rest = [c for c in base.columns if c != "text"]
     base = base.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    tag = F.when(F.col("th").bitwiseAND(F.lit(0xFFFF)) >= 0x8000, F.col("th").bitwiseAND(F.lit(0xFFFF)) - 0x10000).otherwise(F.col("th").bitwiseAND(F.lit(0xFFFF))).cast("short")
-    base = base.withColumn("tag", tag)
     copies = later_copies(base)
     seeds = shared_seeds(base, copies, length, seed)
-    flat = base.drop("th")
+    hits = repeated_starts(base, seeds, length, seed)
+    discard(seeds)
+    asked = materialize(id_filter(hits.select("hd").union(copies.select("cd"))), "filter")
+    rows = may_hold(base, "doc", asked, "wanted")
+    flat = rows.where("wanted").drop("wanted")
     packed = flat.mapInArrow(_pack_texts, ", ".join(f"`{f.name if f.name != 'text' else 'z'}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in flat.schema))
-    windows = packed.select("doc", "tag", "z").join(seeds, (F.col("doc") == F.col("sd")) & (F.col("tag") == F.col("st"))).select("doc", "tag", "z", "pos")
-    windows = windows.mapInArrow(_emit_windows(length, seed), "win long, seed short, doc long, tag short, start int")
-    first = windows.groupBy("win", "seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(redeal(F.col("win")).alias("w"), F.col("seed").alias("s"), "lo")
-    hits = windows.join(first.hint("shuffle_hash"), (redeal(F.col("win")) == F.col("w")) & (F.col("seed") == F.col("s"))).where("lo < doc")
-    hits = hits.groupBy(F.col("doc").alias("hd"), F.col("tag").alias("ht")).agg(F.collect_set("start").alias("starts"))
-    joined = packed.join(hits, (F.col("doc") == F.col("hd")) & (F.col("tag") == F.col("ht")), "left").join(copies, (F.col("doc") == F.col("cd")) & (F.col("tag") == F.col("ct")), "left")
-    rest = [c for c in base.columns if c not in ("text", "th", "tag")]
-    shape = joined.select(*rest, "z", F.col("cd").isNotNull().alias("is_copy"), "starts")
-    schema = _schema(shape, ("z", "is_copy", "starts")) + "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + (", text string" if with_text else "")
-    return shape.mapInArrow(_emit_kept(length, with_text), schema)
+    on = lambda d, t: (F.col("doc") == F.col(d)) & (F.col("th") == F.col(t))
+    joined = packed.join(hits.hint("merge"), on("hd", "ht"), "left").join(copies, on("cd", "ct"), "left").select(*rest, "z", F.col("cd").isNotNull().alias("is_copy"), "starts")
+    free = rows.where("not wanted").select(*rest, F.col("text").cast("binary").alias("z"), F.lit(False).alias("is_copy"), F.lit(None).cast("array<int>").alias("starts"))
+    schema = _schema(joined, ("z", "is_copy", "starts")) + "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + (", text string" if with_text else "")
+    return free.mapInArrow(_emit_kept(length, with_text, False), schema).unionByName(joined.mapInArrow(_emit_kept(length, with_text, True), schema))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
