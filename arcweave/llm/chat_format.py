@@ -17,7 +17,9 @@ content its place in the output, which is the loss mask.
 
 Defined cases: null text, role or part is empty; rows with one turn number are
 ordered by role, then content; a null conversation id is a conversation of its
-own; repeated rows are turns of their own; an empty table gives an empty result.
+own; repeated rows are turns of their own; texts of any length are escaped by
+expressions in one pass, and reading back is linear in the turns; other columns,
+whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,7 +77,10 @@ def text_part(text: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, loss array<struct<start,length>>, attachments, placeholder_tokens), one row per conversation."""
+    """(conv_id, formatted, loss, attachments, placeholder_tokens), one row per conversation.
+
+    A loss span has its start and length in the whole output, and the turn and the place in that turn where it starts.
+    """
     none = F.expr(f"cast(array() as {PARTS})")
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(parts_col).cast(PARTS), none).alias("parts"))
     order = Window.partitionBy("conv").orderBy("turn", "role", F.to_json("parts"))
@@ -89,7 +94,7 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         F.filter(F.transform("parts", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: x["p"]["type"].isin(*ATTACHED)),
         lambda x: F.struct(F.col("n").cast("int").alias("turn"), x["i"].alias("index"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), part_tokens(x["p"]).alias("tokens")),
     )
-    span = F.when(F.col("role") == loss_role, F.struct(F.col("at").alias("start"), F.char_length("body").cast("long").alias("length")))
+    span = F.when(F.col("role") == loss_role, F.struct(F.col("at").alias("start"), F.char_length("body").cast("long").alias("length"), F.col("n").cast("int").alias("turn"), F.char_length("head").alias("offset")))
     one = F.struct("n", "piece", span.alias("loss"), found.alias("found"))
     grouped = rows.groupBy("conv").agg(F.array_sort(F.collect_list(one)).alias("t"))
     attachments = F.flatten(F.transform("t", lambda x: x["found"]))
@@ -116,8 +121,9 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """The unescaped text under the loss mask, in order, joined without a gap."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The unescaped text under the loss mask, in order, joined without a gap; the output is cut into turns once, as a cut far inside a string walks to its place."""
+    cut = lambda turns: F.transform(loss, lambda s: unescape(F.substring(F.get(turns, s["turn"]), s["offset"] + 1, s["length"].cast("int"))))
+    return F.array_join(F.element_at(F.transform(F.array(F.split(formatted, END)), cut), 1), "")
 
 
 def digest_chat(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
