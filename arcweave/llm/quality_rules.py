@@ -17,7 +17,7 @@ kept if no cutoff of its stratum is exceeded; with r rules the false rejections
 a stratum stay below r * risk with confidence 1 - delta.
 
 Scores are functions of the row, so documents are read once to fit the cutoffs on
-the labelled ones and once to judge; no text is shuffled but that of labelled rows.
+the labelled ones and once to judge; no text is shuffled, only the labelled rows' scores.
 
 Everything is SQL functions: repeated 8-word windows are found inside a row by
 hashing, the binomial tail by a recurrence in log space.
@@ -164,8 +164,9 @@ def fitted_cutoffs(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     marks = labels.select(F.col(id_col).cast("long").alias("__lid"), F.col(label_col).cast("int").alias("__label")).where("__lid is not null and __label in (0, 1)")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
     asked = materialize(id_filter(marks.select("__lid")), "labelled")
-    rows = may_hold(rows, "doc", asked, "__may").where("__may").drop("__may").join(marks, F.col("doc") == F.col("__lid"))
-    held = materialize(with_features(rows, "doc").where("not __q.base_failed").select("__q.stratum", (F.col("__label") == 1).alias("good"), *[f"__q.{r}" for r in rules]), "held")
+    rows = may_hold(rows, "doc", asked, "__may").where("__may").drop("__may")
+    scores = with_features(rows, "doc").where("not __q.base_failed").select("__q.doc", "__q.stratum", *[f"__q.{r}" for r in rules])
+    held = materialize(scores.join(marks, F.col("doc") == F.col("__lid")).select("stratum", (F.col("__label") == 1).alias("good"), *rules), "held")
     cut = certified_cutoffs(held).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in rules])
     return materialize(cut.select(F.col("stratum").alias("__stratum"), F.struct(*rules).alias("__cut")), "cutoffs")
 
