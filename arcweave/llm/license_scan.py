@@ -42,6 +42,13 @@ TEMPLATES: list[tuple[str, str]] = [
     ("gpl-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit-disclaimer", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("apache-2.0-disclaimer", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-disclaimer", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl-text", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("bsd-conditions", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 ]
 
@@ -49,10 +56,6 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def template_words(text: str) -> list[str]:
     return _WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
 
@@ -102,11 +105,13 @@ def base_places(words: Column) -> Column:
 def diagonal_hits(rows: DataFrame, grams: DataFrame, k: int) -> DataFrame:
     """(doc, th, template, label, t_len, pos, t_pos) of the grams that a document shares with a template, words compared."""
     n = F.size("words")
-    hashes = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(F.col("words"), i + j) for j in range(k)])))
-    rolled = rows.select("doc", "th", "words", F.posexplode(hashes).alias("pos", "hash"))
+    word = lambda i, j: F.get(F.col("words"), i + j)
+    gram = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[word(i, j) for j in range(k)]).alias("hash"), *[word(i, j).alias(f"g{j}") for j in range(k)])
+    # a row of a gram holds its own words only: the text's array would be copied for every gram
+    rolled = rows.select("doc", "th", F.explode(F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), gram))).alias("x")).select("doc", "th", "x.*")
     equal = None
     for j in range(k):
-        c = F.get("words", F.col("pos") + j) == F.get("t_words", F.lit(j))
+        c = F.col(f"g{j}") == F.get("t_words", F.lit(j))
         equal = c if equal is None else equal & c
     return rolled.join(F.broadcast(grams), (F.col("hash") == F.col("t_hash"))).where(equal).select("doc", "th", "template", "label", "t_len", "pos", "t_pos")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.llm import license_scan
 from arcweave.llm.chat_format import digest_chat, format_chat, text_part
 from arcweave.llm.license_scan import scan_licenses
 from arcweave.llm.minhash import near_duplicate_classes
@@ -155,6 +156,39 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def _license_sql() -> str:
+    """The scan on words themselves: no hashes."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    grams = []
+    for t, (label, text) in enumerate(license_scan.TEMPLATES):
+        w = license_scan.template_words(text)
+        grams += [f"({t}, {quoted(label)}, {len(w)}, {i}, {quoted(' '.join(w[i : i + license_scan.K]))})" for i in range(len(w) - license_scan.K + 1)]
+    phrases = ", ".join(f"({quoted(p)}, {quoted(lab)}, {len(p.split())})" for p, lab in license_scan.PHRASES.items())
+    k = license_scan.K
+    return rf"""
+with t as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+tpl(template, label, t_len, t_pos, g) as (values {", ".join(grams)}),
+phrase(p, label, n) as (values {phrases}),
+w as (select rid, ws, unnest(range(0, len(ws))) as pos from t),
+base as (select w.rid, w.pos, phrase.label from w, phrase where array_to_string(ws[pos + 1:pos + phrase.n], ' ') = phrase.p),
+b as (select rid, count(*) as n, min(pos) as lo, max(pos) as hi, list(distinct label) as labels from base group by rid),
+hit as (select w.rid, template, label, t_len, pos, t_pos from w join tpl on array_to_string(ws[pos + 1:pos + {k}], ' ') = tpl.g),
+vote as (select distinct rid, template, pos - t_pos as diag from hit),
+fresh as (select *, case when diag - lag(diag) over (partition by rid, template order by diag) <= {license_scan.MERGE} then 0 else 1 end as new from vote),
+run as (select rid, template, diag, sum(new) over (partition by rid, template order by diag) as run from fresh),
+place as (select distinct h.rid, h.template, h.label, h.t_len, run.run, h.t_pos + j as p from hit h join run on run.rid = h.rid and run.template = h.template and run.diag = h.pos - h.t_pos, (select unnest(range(0, {k})) as j)),
+span as (select rid, label, count(*) / t_len as score from place group by rid, template, label, t_len, run having count(*) / t_len >= {license_scan.COVER}),
+found as (select rid, list(distinct label) as more, max(score) as best, count(*) as n from span group by rid)
+select doc_id, len(ws) as n_words, coalesce(b.n, 0) as n_base, b.lo as first_word, b.hi as last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(found.more, [])))), ','), '') as labels,
+       cast(least(1.0, coalesce(found.best, case when b.n > 0 then {license_scan.COVER} else 0 end)) as double) as score, coalesce(found.n, 0) as n_spans
+from t left join b on b.rid = t.rid left join found on found.rid = t.rid
+"""
+
+
+ORACLES["op6_license_scan"] = _license_sql()
+
+
 @query
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))

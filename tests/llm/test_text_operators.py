@@ -285,6 +285,29 @@ def test_license_diagonals(spark):
     assert got[4].labels == "cc-by-nc-4.0-notice" and got[4].score == 1
 
 
+def test_license_interrupted_copies(spark):
+    """Sections with words dropped, inserted and cut off: the diagonals decide, and half a section is not enough."""
+    text = {lab: t.split() for lab, t in license_scan.TEMPLATES if lab in ("mit-disclaimer", "bsd-conditions", "isc-text")}
+    rows, want = [], {}
+    for i, (lab, w) in enumerate(sorted(text.items())):
+        rows += [(10 * i, " ".join(["x"] * 5 + w[:9] + w[10:20] + ["really"] + w[20:] + ["y"])), (10 * i + 1, " ".join(w[: len(w) // 2])), (10 * i + 2, " ".join(w[len(w) // 2 :] + w[: len(w) // 2]))]
+        want |= {10 * i: lab, 10 * i + 1: "", 10 * i + 2: ""}
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.labels for i, r in got.items()} == want
+    assert all(license_scan.COVER <= got[10 * i].score < 1 for i in range(3))
+
+
+def test_long_texts_and_conversations(spark):
+    """One text of 200,000 words and one conversation of 8,000 turns: both are read in time linear in their length."""
+    text = " ".join(f"w{i % 5000}" for i in range(200_000)) + " Licensed under the Apache License, Version 2.0."
+    r = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.first_word, r.labels) == (200_008, 200_003, "apache,apache-2.0-notice")
+    turns = spark.range(8000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("a <b> # "), 20).alias("text"))
+    got = chat_format.digest_chat(chat_format.format_chat(turns.withColumn("parts", chat_format.text_part(F.col("text"))))).first()
+    assert (got.n_turns, got.loss_chars) == (8000, 4000 * 160)
+    assert got.loss_sha256 == hashlib.sha256(("a <b> # " * 20 * 4000).encode()).hexdigest()
+
+
 # ------------------------------------------------------------------- simhash
 
 
