@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,13 @@ def wave_predicate(v: Column) -> Column:
     return x >= F.sin(F.cos(a * b) / (F.cos((b + 3) / (a + 2)) + 4))
 
 
+def wave_on_host(v):
+    """:func:`wave_predicate` of a numpy array or pandas series."""
+    x = np.asarray(v, np.float64)
+    a, b = np.exp(x), np.sin(x)
+    return x >= np.sin(np.cos(a * b) / (np.cos((b + 3) / (a + 2)) + 4))
+
+
 def keep(df: DataFrame, predicate: Callable[[Column], Column], col: str = "value") -> DataFrame:
     return df.where(predicate(F.col(col)))
 

@@ -77,6 +77,10 @@ def sssp_fused(graph: Graph, source: int = 0, parts: int = 64, max_rounds: int =
         known = state.select(F.col("node").alias("n"), F.col("dist").alias("old"))
         frontier = materialize(cand.join(known, F.col("node") == F.col("n"), "left").where("old is null or dist < old").select("node", "dist"), "fused")
         state = materialize(state.unionByName(frontier).groupBy("node").agg(F.min("dist").alias("dist")), "fused")
+    else:
+        if not frontier.isEmpty():
+            edges.unpersist()
+            raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
     edges.unpersist()
     r = state.select(F.col("node").alias("n"), "dist")
     return graph.nodes.join(r, F.col("node") == F.col("n"), "left").select("node", "dist")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcweave.graph import Graph, undirected
 from arcweave.operators.ordering import global_rank
-from arcweave.runtime import discard, materialize
+from arcweave.runtime import discard, materialize, ranked_within
 
 DEGREE_THRESHOLD = 8
 
@@ -87,8 +87,8 @@ def propagation_partition(graph: Graph, parts: int, rounds: int = 5, slack: floa
     """(node, part) with few cut edges: blocks refined by label propagation under a size limit.
 
     In a round every node asks for the part most of its neighbours are in;
-    requests to a part are granted in a hashed order while it has room, so parts
-    stay within ``slack`` of an even share. A substitute for k-way cut
+    requests to a part are ranked in a hashed order and the first are granted
+    while it has room, so no part exceeds ``slack`` times an even share, plus one. A substitute for k-way cut
     minimisation with the same contract (an assignment for relabel), not its quality.
     """
     both = materialize(undirected(graph.edges.select("src", "dst")).where("src <> dst").distinct(), "lp")
@@ -102,9 +102,9 @@ def propagation_partition(graph: Graph, parts: int, rounds: int = 5, slack: floa
         asked = cur.join(want, F.col("node") == F.col("src"), "left").select("node", "part", F.coalesce("want", "part").alias("want"))
         sizes = {r.part: r.n for r in cur.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a part
         free = F.create_map(*[x for p in range(parts) for x in (F.lit(p).cast("long"), F.lit(max(0, room - sizes.get(p, 0))))])
-        moves = asked.where("want <> part").groupBy("want").agg(F.count(F.lit(1)).alias("asks")).withColumnRenamed("want", "w")
-        share = asked.join(F.broadcast(moves), F.col("want") == F.col("w"), "left").withColumn("ok", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1_000_000)) / 1e6 < free[F.col("want")] / F.greatest(F.col("asks"), F.lit(1)))
-        nxt = materialize(share.select("node", F.when((F.col("want") != F.col("part")) & F.coalesce("ok", F.lit(False)), F.col("want")).otherwise(F.col("part")).alias("part")), "lp")
+        asks = asked.where("want <> part").select("node", "want", F.xxhash64("node", F.lit(i)).alias("__h"))
+        granted = ranked_within(asks, ["want"], ["__h", "node"], "__at").where(F.col("__at") < free[F.col("want")]).select(F.col("node").alias("__g"), "want")
+        nxt = materialize(cur.join(granted, F.col("node") == F.col("__g"), "left").select("node", F.coalesce("want", "part").alias("part")), "lp")
         discard(cur)
         cur = nxt
     return cur

@@ -14,6 +14,7 @@ def test_commands(spark, tmp_path, capsys):
 def test_stats_and_filter(spark, tmp_path, capsys):
     assert cli.main(["bfs", "--gen-method", "2", "--gen-nodes", "8", "--stats"]) == 0
     assert "nodes 8 edges 14" in capsys.readouterr().out
-    assert cli.main(["pbf", "--size", "1000", "--output", str(tmp_path / "v")]) == 0
+    assert cli.main(["pbf", "--size", "1000", "--check", "--output", str(tmp_path / "v")]) == 0
+    assert "passed" in capsys.readouterr().out
     assert cli.main(["pr", "--gen-nodes", "30", "--gen-factor", "3", "--check", "--output", str(tmp_path / "r")]) == 0
     assert (tmp_path / "r").read_text().startswith("ALPHA 0.85")

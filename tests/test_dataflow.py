@@ -102,3 +102,15 @@ def test_streams(spark, tmp_path):
     g.edges.repartition(4).write.parquet(path)
     got = streamed_components(g, chunks(spark, path, "src long, dst long"), f"c{tmp_path.name}")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, connected_components(g).collect()))
+
+
+def test_streams_go_on_after_a_second_run(spark, tmp_path):
+    import uuid
+
+    path, name = str(tmp_path / "in"), uuid.uuid4().hex
+    spark.range(100).select(F.col("id").alias("v")).repartition(3).write.parquet(path)
+    assert streamed_sum(chunks(spark, path, "v long"), "v", name) == 4950
+    assert streamed_sum(chunks(spark, path, "v long"), "v", name) == 4950  # nothing new: the committed chunks are read back
+    spark.range(10).select(F.col("id").alias("v")).write.mode("append").parquet(path)
+    assert streamed_sum(chunks(spark, path, "v long"), "v", name) == 4995
+    assert streamed_sum(chunks(spark, path, "v long"), "v") == 4995  # a stream of its own

@@ -156,3 +156,65 @@ def test_verifiers(spark):
 def test_undirected(spark):
     e = spark.createDataFrame([(1, 2)], "src long, dst long")
     assert sorted(map(tuple, undirected(e).collect())) == [(1, 2), (2, 1)]
+
+
+def test_one_hub_is_one_component(spark):
+    """A star of 3,000 leaves with small partitions that may be split, beside a chain."""
+    keys = ["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("1k", "1k", "-1"), strict=True):
+            spark.conf.set(k, v)
+        hub = spark.range(1, 3001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+        chain = spark.range(5000, 5020).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+        got = cc.component_labels(hub.union(chain)).groupBy("comp").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(0, 3001), (5000, 21)]
+
+
+def test_checkers_on_the_driver(spark):
+    from arcweave.operators.host import host_distances, host_levels, host_ranks
+
+    edges = [(0, 1, 5), (0, 2, 1), (2, 1, 1), (1, 3, 2), (3, 3, 1), (7, 8, 1)]
+    g = Graph(spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 7, 8, 9)], "node long"), spark.createDataFrame(edges, "src long, dst long, weight long"))
+    plain = lambda df: {r[0]: r[1] for r in df.collect() if r[1] is not None}
+    assert plain(host_distances(g, 0)) == oracles.dijkstra(edges, 0)
+    assert plain(host_levels(g, 0)) == oracles.bfs([e[:2] for e in edges], 0)
+    want = oracles.pagerank([0, 1, 2, 3, 7, 8, 9], [e[:2] for e in edges], eps=1e-9, cap=2000)
+    got = plain(host_ranks(g, epsilon=1e-9, max_iterations=2000))
+    assert all(abs(got[n] - want[n]) < 1e-6 for n in want)
+
+
+def test_unfinished_distances_are_an_error(spark):
+    from arcweave.operators.fused import sssp_fused
+    from arcweave.sources import generators
+
+    with pytest.raises(RuntimeError):
+        sssp_fused(generators.chain(spark, 40), 0, parts=8, max_rounds=1)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from arcweave import runtime
+
+    context = SimpleNamespace(applicationId="app", master="spark://host:7077", getCheckpointDir=lambda: None)
+    far = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError):
+        runtime.scratch_root(far)
+    context.getCheckpointDir = lambda: "hdfs://shared/dir"
+    assert runtime.scratch_root(far) == "hdfs://shared/dir/arcweave-app"
+
+
+def test_id_filter_never_misses(spark):
+    from arcweave.runtime import id_filter, may_hold
+
+    ids = spark.range(0, 30000, 7).union(spark.createDataFrame([(-5,), (None,)], "id long"))
+    rows = spark.range(0, 30000).union(spark.createDataFrame([(-5,), (None,)], "id long")).withColumnRenamed("id", "key")
+    got = {(r.key, r.may) for r in may_hold(rows, "key", id_filter(ids), "may").collect()}
+    assert all((i, True) in got for i in [*range(0, 30000, 7), -5]) and (None, False) in got
+    assert sum(m for k, m in got) < 4400  # few others
+    crowded = may_hold(rows, "key", id_filter(ids, rows=1), "may", rows=1)
+    assert crowded.where("not may and key is not null and key % 7 = 0").count() == 0

@@ -36,8 +36,8 @@ def test_gr_query_takes_the_whole_graph(spark, monkeypatch):
 
     monkeypatch.setattr(gr, "write_gr", write)
     want = catalog.g2_pairs(spark, data)
-    assert catalog.q_gr_roundtrip(spark, data).count() == want.where("src < 40").count()
-    assert headers[0][2] == want.count() > want.where("src < 40").count()
+    assert catalog.q_gr_roundtrip(spark, data).count() == want.count()
+    assert headers[0][2] == want.count()
     lose.append(True)
     with pytest.raises(ValueError, match="lost"):
         catalog.q_gr_roundtrip(spark, data)
