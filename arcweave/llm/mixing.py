@@ -7,18 +7,24 @@ a quota of tokens q * budget. Quotas are realised as block permutations: a
 source's documents are hashed into blocks of about ``BLOCK`` documents; blocks
 are ordered by a keyed hash and documents inside a block by another. A source is
 passed through in full as often as its quota allows; the last, partial pass
-takes blocks in permutation order until the rest of the quota is used.
+takes blocks in permutation order until the rest of the quota is used. With
+``ordered`` the mixed rows come pass by pass in the order of the permutation.
 
 By default the budget is the smallest that passes every source at least once,
 so mixing repeats documents and drops none.
 
-All sums are partial aggregates by (source, block). The partial pass is a cut
-point per source, so documents are chosen in place: the text is not shuffled
-unless the table of sources outgrows Spark's own broadcast limit.
+All sums are partial aggregates. The partial pass is a cut point per source,
+found from the ranges of the permutation to one range's blocks to one block's
+documents, so no task sums over all blocks of a source. Documents are then
+chosen in place: the text is not shuffled unless the table of sources outgrows
+Spark's own broadcast limit.
 
 Defined cases: a null source is a source of its own; a source without tokens is
 passed once; repeated rows are rows of their own (and share their hash, so they
-fall on the same side of a cut); an empty table gives an empty result.
+fall on the same side of a cut); a null id draws by its text; a very long text
+that does not fit into the rest of a quota ends the partial pass; rows whose
+draws tie are taken or left together; an empty table gives an empty result;
+columns of ``docs`` may have any name that does not start with two underscores.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcweave.llm.draws import draw, range_of
 from arcweave.llm.words import word_count
 from arcweave.runtime import materialize
 
@@ -90,37 +97,51 @@ def plan_mixture(rows: DataFrame, target_entropy: float | None = None, max_repea
     quota = per.withColumn("log_p", F.when(F.col("tokens") > 0, F.log(F.col("tokens") / F.lit(float(max(total, 1)))))).withColumn("weight", F.coalesce(weight, F.lit(0.0)))
     quota = quota.withColumn("quota", F.col("weight") * F.lit(float(budget)))
     passes = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens") + F.lit(1e-9))).otherwise(F.lit(1)).cast("long")
-    quota = quota.withColumn("epochs", passes).withColumn("rest", F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), F.col("quota") - F.col("epochs") * F.col("tokens"))).otherwise(F.lit(0.0)))
+    quota = quota.withColumn("epochs", passes).withColumn("rest", F.when(F.col("tokens") > 0, F.greatest(F.lit(0), F.floor(F.col("quota") - F.col("epochs") * F.col("tokens") + F.lit(1e-6)))).otherwise(F.lit(0)).cast("long"))
     quota = quota.withColumn("blocks", F.ceil(F.col("docs") / F.lit(BLOCK)).cast("long")).withColumn("exponent", F.lit(a))
     quota = materialize(quota.drop("log_p"), "quota")
     return materialize(_with_cuts(rows, quota), "mixture")
 
 
 def block_of(key: Column, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit("block"), key), blocks)
+    return F.pmod(key, blocks)
 
 
 def block_order(source: Column, block: Column, epoch: Column) -> Column:
-    return F.xxhash64(F.lit("order"), source, block, epoch)
+    return draw("order", F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")), block, epoch)
 
 
 def doc_order(key: Column, epoch: Column) -> Column:
-    return F.xxhash64(F.lit("doc"), key, epoch)
+    return draw("doc", key, epoch)
+
+
+def _border(sums: DataFrame, order: list[str]) -> DataFrame:
+    """The one row of each source in which the running total of ``t`` passes the rest; ``before`` is the total up to it."""
+    run = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = sums.withColumn("before", F.col("base") + F.coalesce(F.sum("t").over(run), F.lit(0))).where("before <= rest and before + t > rest")
+    return found.select(F.col("source").alias("bs"), *[F.col(c).alias(f"b_{c}") for c in order], F.col("before").alias("base"))
+
+
+def _inside(located: DataFrame, border: DataFrame, keys: list[str]) -> DataFrame:
+    on = F.col("source").eqNullSafe(F.col("bs"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"b_{k}"))
+    return located.join(border, on).drop("bs", *[f"b_{k}" for k in keys])
 
 
 def _with_cuts(rows: DataFrame, quota: DataFrame) -> DataFrame:
-    """The block and, inside it, the document hash up to which the partial pass takes documents."""
+    """The block and, inside it, the document draw up to which the partial pass takes documents."""
     q = quota.select(F.col("source").alias("qs"), "blocks", "epochs", "rest").where("rest > 0")
     located = rows.join(q, F.col("source").eqNullSafe(F.col("qs"))).withColumn("block", block_of(F.col("doc_key"), F.col("blocks")))
-    located = located.withColumn("bo", block_order(F.col("source"), F.col("block"), F.col("epochs"))).withColumn("do", doc_order(F.col("doc_key"), F.col("epochs")))
-    sums = located.groupBy("source", "bo", "block", "rest").agg(F.sum("n_tokens").alias("t"))
-    run = Window.partitionBy("source").orderBy("bo", "block").rowsBetween(Window.unboundedPreceding, -1)
-    border = sums.withColumn("before", F.coalesce(F.sum("t").over(run), F.lit(0))).where("before <= rest and before + t > rest")
-    border = border.select(F.col("source").alias("bs"), F.col("bo").alias("bbo"), F.col("block").alias("bb"), "before")
-    inside = located.join(border, F.col("source").eqNullSafe(F.col("bs")) & (F.col("bo") == F.col("bbo")) & (F.col("block") == F.col("bb")))
-    each = inside.groupBy("source", "bo", "block", "do", "before", "rest").agg(F.sum("n_tokens").alias("t"))
+    located = located.withColumn("bo", block_order(F.col("source"), F.col("block"), F.col("epochs"))).withColumn("r", range_of(F.col("bo")))
+    blocks = located.groupBy("source", "rest", "epochs", "r", "bo", "block").agg(F.sum("n_tokens").alias("t"))
+    blocks = materialize(blocks, "blocks")
+    ranges = blocks.groupBy("source", "rest", "r").agg(F.sum("t").alias("t")).withColumn("base", F.lit(0).cast("long"))
+    border = _border(_inside(blocks, _border(ranges, ["r"]), ["r"]), ["bo", "block"])
+    docs = _inside(located, border, ["bo", "block"]).withColumn("do", doc_order(F.col("doc_key"), F.col("epochs")))
+    each = docs.groupBy("source", "bo", "block", "do", "base", "rest").agg(F.sum("n_tokens").alias("t"))
     upto = Window.partitionBy("source", "bo", "block").orderBy("do").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = each.withColumn("upto", F.col("before") + F.sum("t").over(upto)).groupBy("source", "bo", "block").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("do"))).alias("cut_doc"))
+    cuts = each.withColumn("upto", F.col("base") + F.sum("t").over(upto)).groupBy("source", "bo", "block").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("do"))).alias("cut_doc"))
     cuts = cuts.select(F.col("source").alias("cs"), F.col("bo").alias("cut_order"), F.col("block").alias("cut_block"), "cut_doc")
     return quota.join(cuts, F.col("source").eqNullSafe(F.col("cs")), "left").drop("cs")
 
@@ -142,19 +163,30 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 
 def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
+    return draw("key", F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """(id, source, n_tokens, copies, weight, block, block_order): how often each row is shown and where in its permutation."""
+    """(id, source, n_tokens, copies, weight, block, block_order, doc_order): how often each row is shown and where in its source's first pass."""
     rows = materialize(_rows(docs, id_col, text_col, source_col), "mixrows")
     out = with_copies(rows, plan_mixture(rows, **targets), F.col("doc_key"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "n_tokens", F.col("__copies").alias("copies"), F.col("__weight").alias("weight"), F.col("__block").alias("block"), block_order(F.col("source"), F.col("__block"), F.lit(0).cast("long")).alias("block_order"))
+    first = F.lit(0).cast("long")
+    return out.select(
+        F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "n_tokens", F.col("__copies").alias("copies"), F.col("__weight").alias("weight"), F.col("__block").alias("block"),
+        block_order(F.col("source"), F.col("__block"), first).alias("block_order"), doc_order(F.col("__key"), first).alias("doc_order"),
+    )
+
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False, **targets) -> DataFrame:
+    """The mixed rows with the columns of ``docs``: each row as often as the mixture shows it.
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """The mixed rows with the columns of ``docs``: each row as often as the mixture shows it."""
+    ``ordered`` sorts them by pass, then by block draw and document draw of that pass: the blocks of all
+    sources come interleaved, and the last pass of a source holds the head of its permutation.
+    """
     plan = plan_mixture(materialize(_rows(docs, id_col, text_col, source_col), "mixrows"), **targets)
     out = with_copies(docs, plan, _key(id_col, text_col), source_col)
-    times = F.when(F.col("__copies") > 0, F.array_repeat(F.lit(0), F.col("__copies").cast("int")))
-    return out.withColumn("__i", F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    passes = F.when(F.col("__copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1))
+    out = out.withColumn("__pass", F.explode(passes))
+    if ordered:
+        out = out.orderBy("__pass", block_order(F.col(source_col), F.col("__block"), F.col("__pass")), "__block", doc_order(F.col("__key"), F.col("__pass")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,8 +21,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm.draws import draw, range_of
 from arcweave.llm.words import word_count
-from arcweave.runtime import materialize, ranked_within, shuffle_width
+from arcweave.runtime import materialize, ranked_within
 
 EXACT = 2048
 BUCKETS = 16
@@ -95,9 +96,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
 
     ``tokens`` is the token count of a row; by default its number of words.
     ``batch`` counts from 0 within the bucket, ``batch_slot`` from 0 within the batch.
+    Rows of a bucket are taken in the order of a draw from id and text, then of the id.
     """
     n = (tokens if tokens is not None else word_count(F.col(text_col))).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(n, F.lit(0)).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(n, F.lit(0)).alias("n_tokens"), draw(F.col(id_col), F.col(text_col)).alias("key"))
     rows = materialize(rows, "lengths")
     histogram = rows.groupBy(F.col("n_tokens").alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per distinct length
     bounds = optimal_boundaries([r.len for r in histogram], [r.n for r in histogram], buckets)
@@ -106,8 +108,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
         bucket = F.when(F.col("n_tokens") <= u, F.lit(i)).otherwise(bucket)
         size = F.when(F.col("n_tokens") <= u, F.lit(u).cast("long")).otherwise(size)
     placed = rows.withColumn("bucket", bucket).withColumn("bucket_len", size)
-    width = max(16, shuffle_width(docs.sparkSession))
-    ranked = ranked_within(placed, ["bucket"], ["key", "doc_id"], "rank", salt=F.pmod("key", F.lit(width)).cast("int"))
+    ranked = ranked_within(placed, ["bucket"], ["key", "doc_id"], "rank", salt=range_of(F.col("key")))
     per = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget} div greatest(bucket_len, 1)"))
     return ranked.select(
         F.col("doc_id").alias(id_col), "n_tokens", "bucket", "bucket_len", (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import license_scan
+from arcweave.llm import license_scan, packing
 from arcweave.llm.chat_format import digest_chat, format_chat, text_part
+from arcweave.llm.draws import RANGES, SPAN, crc32_sql, draw_sql
 from arcweave.llm.license_scan import scan_licenses
 from arcweave.llm.minhash import near_duplicate_classes
-from arcweave.llm.mixing import mix_report
+from arcweave.llm.mixing import BLOCK, MAX_REPEAT, mix_report
 from arcweave.llm.packing import pack
 from arcweave.llm.quality_rules import COST, DELTA, GRIDS, RISK, judge
-from arcweave.llm.sharding import assign_shards
+from arcweave.llm.sharding import assign_shards, tree_for
 from arcweave.llm.simhash import simhash_report
 from arcweave.llm.substring_dedup import substring_dedup
 from arcweave.llm.toxicity import score_toxicity
@@ -58,6 +59,32 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def _packing_sql() -> str:
+    """The dynamic program layer by layer over all pairs of lengths; a prefix's cuts travel with its cost."""
+    return rf"""
+with recursive
+t as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n, {draw_sql('doc_id', 'text')} as key from documents),
+h as (select n as len, count(*) as c from t group by n),
+v as (select row_number() over (order by len) as j, len, (sum(c) over (order by len))::bigint as cum, (sum(c * len) over (order by len))::bigint as mass from h),
+dp as (
+  select 1 as m, j, len * cum - mass as cost, [len] as cuts from v
+  union all
+  select m + 1, j, step // (select count(*) + 1 from v), list_append(cuts, len) from (
+    select dp.m, v.j, v.len, min((dp.cost + v.len * (v.cum - p.cum) - (v.mass - p.mass)) * (select count(*) + 1 from v) + dp.j) as step,
+           arg_min(dp.cuts, (dp.cost + v.len * (v.cum - p.cum) - (v.mass - p.mass)) * (select count(*) + 1 from v) + dp.j) as cuts
+    from dp join v p on p.j = dp.j join v on v.j > dp.j where dp.m < {packing.BUCKETS} group by dp.m, v.j, v.len)),
+best as (select cuts from dp where m = (select least({packing.BUCKETS}, count(*)) from v) and j = (select count(*) from v)),
+placed as (select t.*, len(list_filter(cuts, lambda u: u < n)) as bucket, cuts from t, best),
+ranked as (select *, cuts[bucket + 1] as size, row_number() over (partition by bucket order by key, doc_id nulls first) - 1 as rank from placed)
+select doc_id, n as n_tokens, cast(bucket as integer) as bucket, cast(size as bigint) as bucket_len, size - n as padding,
+       rank // greatest(1, {packing.BUDGET} // greatest(size, 1)) as batch, rank % greatest(1, {packing.BUDGET} // greatest(size, 1)) as batch_slot
+from ranked
+"""
+
+
+ORACLES["op4_packing"] = _packing_sql()
+
+
 @query
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -96,7 +123,33 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(table(spark, sf_dir, "documents"))
+    return mix_report(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
+
+
+def _mixing_sql() -> str:
+    """The exponent in closed form, the partial pass by a running total over all documents of a source."""
+    source = "case when source is null then 'n' else 's' || source end"
+    return rf"""
+with t as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n,
+                  {draw_sql("'key'", 'doc_id', 'case when doc_id is null then text end')} as key from documents),
+s as (select source, sum(n)::bigint as tokens, count(*) as docs from t group by source),
+e as (select ln(max(tokens) / min(tokens)) as spread, sum(tokens) as total from s where tokens > 0),
+a as (select case when spread <= ln({MAX_REPEAT}) then 0.0::double else 1 - ln({MAX_REPEAT}) / spread end as a, total from e),
+z as (select sum(pow(tokens / total, a)) as z from s, a where tokens > 0),
+w as (select s.*, case when tokens > 0 then pow(tokens / total, a) / z else 0.0::double end as weight from s, a, z),
+q as (select *, weight * (select max(tokens / weight) from w where tokens > 0) as quota from w),
+c as (select *, case when tokens > 0 then floor(quota / tokens + 1e-9)::bigint else 1 end as epochs from q),
+r as (select *, case when tokens > 0 then greatest(0, floor(quota - epochs * tokens + 1e-6))::bigint else 0 end as rest, ((docs + {BLOCK - 1}) // {BLOCK})::bigint as blocks from c),
+b as (select t.*, r.weight, r.epochs, r.rest, t.key % r.blocks as block from t join r on r.source is not distinct from t.source),
+o as (select *, {draw_sql("'order'", source, 'block', 'epochs')} as bo, {draw_sql("'doc'", 'key', 'epochs')} as d from b),
+u as (select *, sum(n) over (partition by source order by bo, block, d) as upto from o)
+select doc_id, source, n as n_tokens, epochs + case when rest > 0 and upto <= rest then 1 else 0 end as copies, round(weight, 9) as weight, block,
+       {draw_sql("'order'", source, 'block', '0')} as block_order, {draw_sql("'doc'", 'key', '0')} as doc_order
+from u
+"""
+
+
+ORACLES["op8_mixing"] = _mixing_sql()
 
 
 @query
@@ -104,6 +157,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def _sharding_sql() -> str:
+    """The trees as rows (tree, parent, node); a row takes its least draw level by level."""
+    nodes = []
+    for tree in (16, 17):
+        stack = [tree_for(tree, base=16)]
+        while stack:
+            parent = stack.pop()
+            nodes += [f"({tree}, {parent.key}, {i}, {c.key}, {c.weight}::double, {c.shard})" for i, c in enumerate(parent.children) if c.weight > 0]
+            stack += parent.children
+    remainders, crc = crc32_sql("coalesce(text, '')")
+    level = lambda before, at: f"""
+select x.rid, x.key, x.tree, arg_min(tree.node, -ln(({draw_sql('tree.node', 'x.key')} + 0.5) / {SPAN}) / tree.weight) as at, arg_min(tree.ord, -ln(({draw_sql('tree.node', 'x.key')} + 0.5) / {SPAN}) / tree.weight) as ord,
+       arg_min(tree.shard, -ln(({draw_sql('tree.node', 'x.key')} + 0.5) / {SPAN}) / tree.weight) as shard
+from {before} x join tree on tree.tree = x.tree and tree.parent = {at} group by x.rid, x.key, x.tree"""
+    return rf"""
+with tree(tree, parent, ord, node, weight, shard) as (values {", ".join(nodes)}),
+c as (select row_number() over () as rid, doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size, {crc} as crc from documents, {remainders}),
+t as (select *, coalesce(doc_id, -1 - crc)::bigint as key from c),
+pair as (select rid, key, tree from t, (values (16), (17)) v(tree)),
+l1 as ({level('pair', '0')}),
+l2 as ({level('l1', 'x.at')}),
+l3 as ({level('l2', 'x.at')}),
+s as (select rid, max(shard) filter (where tree = 16) as shard, max(shard) filter (where tree = 17) as grown from l3 group by rid)
+select doc_id, cast(size as bigint) as size, crc as text_crc32, 'key' as law, cast(s.shard as integer) as shard,
+       row_number() over (partition by s.shard order by {draw_sql("'slot'", 't.key')} // {int(SPAN) // RANGES}, doc_id nulls first, crc) - 1 as slot,
+       cast(s.grown as integer) as grown_shard, cast(l1.ord as integer) as region, cast(l2.ord as integer) as rack
+from t join s on s.rid = t.rid join l1 on l1.rid = t.rid and l1.tree = 16 join l2 on l2.rid = t.rid and l2.tree = 16
+"""
+
+
+ORACLES["op10_sharding"] = _sharding_sql()
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

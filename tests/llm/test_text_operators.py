@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arcweave.llm import chat_format, license_scan, minhash, mixing, packing, quality_rules, sharding, simhash, substring_dedup, toxicity, words
+from arcweave.llm import chat_format, license_scan, minhash, mixing, packing, quality_rules, registry, sharding, simhash, substring_dedup, toxicity, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, slot string, weight double, words string, bucket string"
@@ -360,6 +360,53 @@ def test_block_tables_find_all(spark):
     assert got == {(r.fingerprint, p) for r in q.collect() for p in prints if pop(r.fingerprint, p) <= 3}
 
 
+def test_simhash_equals_brute_force(docs):
+    xxhash = pytest.importorskip("xxhash")
+
+    def fingerprint(t):
+        votes = np.zeros(64, np.int64)
+        for w in t.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" "):
+            if w:
+                h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+                votes += max(1, min(15, len(w) ** 2 // 4)) * (2 * ((h >> np.arange(64, dtype=np.uint64).astype(object)) & 1).astype(np.int64) - 1)
+        return sum(1 << b for b in range(64) if votes[b] > 0)
+
+    like = lambda a, b: 1 - bin(a ^ b).count("1") / 64
+    rows = sorted((r.doc_id, r.text or "") for r in docs.where("doc_id is not null").distinct().collect())
+    prints = [fingerprint(t) for _, t in rows]
+    got = simhash.simhash_report(docs.where("doc_id is not null").distinct(), every=2).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = [i for i, _ in rows].index(r.doc_id)
+        t, nxt = rows[k][1], rows[(k + 1) % len(rows)][1]
+        edited = fingerprint(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2])
+        assert (r.fingerprint, r.edited_fingerprint) == (f"{prints[k]:016x}", f"{edited:016x}")
+        assert (r.near_edited, r.near_next) == (like(prints[k], edited), like(prints[k], prints[(k + 1) % len(rows)]))
+        assert r.n_within == (sum(bin(prints[k] ^ p).count("1") <= 3 for p in prints) if r.doc_id % 2 == 0 else None)
+
+
+# ----------------------------------------------------------- SQL counterparts
+
+
+@pytest.mark.parametrize("name", ["op4_packing", "op8_mixing", "op10_sharding"])
+@pytest.mark.parametrize("table", ["awkward", "sf0.001"])
+def test_sql_counterpart(spark, docs, data, tmp_path, name, table):
+    duckdb = pytest.importorskip("duckdb")
+    if table == "awkward":
+        path = str(tmp_path)
+        docs.coalesce(1).write.parquet(f"{path}/documents.parquet")
+        files = f"{path}/documents.parquet/*.parquet"
+    else:
+        path, files = data, f"{data}/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{files}'")
+    got = registry.QUERIES[name](spark, path)
+    cols = sorted(got.columns)
+    want = con.sql(registry.ORACLES[name])
+    assert sorted(want.columns) == cols
+    assert bag(got.select(*cols).collect()) == bag(want.select(*cols).fetchall())
+
+
 # -------------------------------------------------------------------- mixing
 
 
@@ -378,6 +425,37 @@ def test_mixing(spark, empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_partial_pass_is_the_head_of_the_permutation(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(n), "a" if i < 9000 else "b") for i, n in enumerate(rng.integers(0, 40, 12000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(df, budget=int(0.8 * sum(len(r[1]) // 2 for r in rows))).collect()
+    md5 = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:13], 16)
+    plan = {r.source: r for r in mixing.plan_mixture(mixing._rows(df, "doc_id", "text", "source"), budget=int(0.8 * sum(len(r[1]) // 2 for r in rows))).collect()}
+    for source, p in plan.items():
+        mine = [r for r in got if r.source == source]
+        keys = {r.doc_id: md5("key", r.doc_id, "") for r in mine}
+        assert all(r.block == keys[r.doc_id] % p.blocks for r in mine)
+        order = sorted(mine, key=lambda r: (md5("order", "s" + source, r.block, p.epochs), r.block, md5("doc", keys[r.doc_id], p.epochs)))
+        total, taken = 0, []
+        for r in order:
+            total += r.n_tokens
+            if total > p.rest:
+                break
+            taken.append(r.doc_id)
+        assert p.rest > 0 and {r.doc_id for r in mine if r.copies > p.epochs} == set(taken) and 0 < len(taken) < len(mine)
+
+
+def test_ordered_mixture_runs_pass_by_pass(spark):
+    rows = [(i, "a b", "big" if i % 4 else "small") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shown = {r.doc_id: r for r in mixing.mix_report(df, max_repeat=2.0).collect()}
+    out = [r.doc_id for r in mixing.mix(df, max_repeat=2.0, ordered=True).collect()]
+    first = sorted(shown.values(), key=lambda r: (r.block_order, r.block, r.doc_order))
+    assert out[:3000] == [r.doc_id for r in first]
+    assert collections.Counter(out) == {i: r.copies for i, r in shown.items()}
+
+
 def test_mixing_awkward(docs):
     got = mixing.mix_report(docs).collect()
     assert len(got) == docs.count() and all(r.copies >= 1 for r in got)
@@ -600,3 +678,15 @@ def test_movement_is_confined(spark):
     rows = df.select(sharding.shard_of(F.col("doc_id"), a).alias("a"), sharding.shard_of(F.col("doc_id"), b).alias("b")).where("a <> b").collect()
     assert rows and all(r.b < 8 for r in rows)  # only region 0 gains, and inside its other rack nothing moves
     assert all(r.b < 4 or r.a >= 8 for r in rows)
+
+
+def test_weights_that_are_all_zero_raise():
+    with pytest.raises(ValueError):
+        sharding.tree_for(4, weights=dict.fromkeys(range(4), 0.0))
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    df = spark.range(20000).select(F.col("id").alias("doc_id"))
+    a, b = sharding.tree_for(16, base=16), sharding.tree_for(17, base=16)
+    rows = df.select(sharding.shard_of(F.col("doc_id"), a).alias("a"), sharding.shard_of(F.col("doc_id"), b).alias("b")).where("a <> b").collect()
+    assert all(r.b == 16 for r in rows) and abs(len(rows) / 20000 - 1 / 17) < 0.008
