@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: The hashing and model stages have no SQL form; tests/llm holds the pipeline against brute force.
+#: Near-dedup has no SQL form; tests/llm holds its operator, substring dedup and the rows of the last stages against brute force.
 ORACLE_SQL = None
 
 
