@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcweave.operators.components import star_violations
 from arcweave.operators.pagerank import top_ranks
+from arcweave.runtime import dealt
 
 RANK_TOLERANCE = 1e-2
 
@@ -37,12 +38,11 @@ def check_star(labels: DataFrame) -> DataFrame:
     return star_violations(labels).withColumn("ok", (F.col("deep") == 0) & (F.col("upward") == 0))
 
 
-def compare_bags(got: DataFrame, expected: DataFrame) -> DataFrame:
-    """(extra, missing, ok) as multisets."""
+def compare_bags(got: DataFrame, expected: DataFrame, rows: int = 0) -> DataFrame:
+    """(extra, missing, ok) as multisets; ``rows`` of both together, if known and mostly distinct."""
     cols = got.columns
-    a = got.groupBy(*cols).agg(F.count(F.lit(1)).alias("__a"))
-    b = expected.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("__b"))
-    u = a.withColumn("__b", F.lit(0).cast("long")).unionByName(b.withColumn("__a", F.lit(0).cast("long"))).groupBy(*cols).agg(F.sum("__a").alias("a"), F.sum("__b").alias("b"))
+    side = lambda df, a, b: df.select(*cols, F.lit(a).cast("long").alias("__a"), F.lit(b).cast("long").alias("__b"))
+    u = dealt(side(got, 1, 0).unionByName(side(expected, 0, 1)), cols, rows).groupBy(*cols).agg(F.sum("__a").alias("a"), F.sum("__b").alias("b"))
     return u.agg(
         F.coalesce(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))), F.lit(0)).alias("extra"), F.coalesce(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))), F.lit(0)).alias("missing")
     ).withColumn("ok", (F.col("extra") == 0) & (F.col("missing") == 0))

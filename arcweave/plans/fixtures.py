@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arcweave.graph import Graph, undirected
 from arcweave.operators.ordering import with_next
+from arcweave.runtime import dealt, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +37,14 @@ nodes as (select 3 * c_custkey as node from customer union all select 3 * o_orde
 
 def g2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    pairs = lines.groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).agg(F.min("l_quantity").cast("long").alias("weight"))
-    return pairs
+    items = lines.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), "l_quantity")
+    return dealt(items, ["src", "dst"], lines.count()).groupBy("src", "dst").agg(F.min("l_quantity").cast("long").alias("weight"))
 
 
 def g2(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.of_edges(undirected(g2_pairs(spark, sf_dir)))
+    """Pairs and nodes are tables: a traversal reads each of them several times."""
+    pairs = materialize(g2_pairs(spark, sf_dir), "pairs")
+    return Graph(materialize(Graph.of_edges(pairs).nodes, "nodes"), undirected(pairs))
 
 
 G2 = """e as (select 2 * l_suppkey as a, 2 * l_partkey + 1 as b, cast(min(l_quantity) as bigint) as w from lineitem group by 1, 2),

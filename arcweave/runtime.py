@@ -124,6 +124,21 @@ def may_hold(df: DataFrame, key: str, bits: DataFrame, out: str, rows: int = FIL
     return joined.withColumn(out, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("__fb", "__bits")
 
 
+#: Rows that one task of a grouping holds where the number of tasks follows the input.
+TASK_ROWS = 1 << 19
+
+
+def task_parts(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` of about ``rows`` rows (0: unknown) dealt by keys that repeat little. Spark deals a large table to as few
+    tasks as the cluster has cores, each with more rows the larger the table; here a task gets some ``TASK_ROWS``."""
+    n, spark = task_parts(rows), df.sparkSession
+    return df.repartition(n, *keys) if n > min(shuffle_width(spark), spark.sparkContext.defaultParallelism) else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

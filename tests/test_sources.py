@@ -43,6 +43,28 @@ def test_gr_query_takes_the_whole_graph(spark, monkeypatch):
         catalog.q_gr_roundtrip(spark, data)
 
 
+def test_gr_is_written_by_tasks_in_pieces(spark, tmp_path, monkeypatch):
+    """Sources that span pieces and ids without edges; no edge passes the driver, and the number of ranges read has a bound."""
+    from pyspark.sql import DataFrame
+
+    from arcweave.sources import gr
+
+    rows = [(7, i, i + 1) for i in range(300)] + [(i, 900 - i, 3) for i in range(0, 900, 17)] + [(7, 5, 6)] * 3
+    edges = spark.createDataFrame(rows, "src long, dst long, weight long").repartition(5)
+    monkeypatch.setattr(gr, "task_parts", lambda n: -(-n // 20))
+    monkeypatch.setattr(gr, "BLOCK", 11)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    path = str(tmp_path / "p.gr")
+    write_gr(edges, 1000, path)
+    ends = np.fromfile(path, "<u8", 1000, offset=32)
+    assert ends.tolist() == np.searchsorted(sorted(r[0] for r in rows), np.arange(1000), side="right").tolist()
+    monkeypatch.setattr(gr, "MAX_RANGES", 8)
+    assert len(gr.GrReader(path, 1).partitions()) <= 8
+    assert sorted(map(tuple, read_gr(spark, path, 100).edges.collect())) == sorted(rows)
+    with pytest.raises(Exception, match="outside"):
+        write_gr(edges, 500, path)
+
+
 def test_gr_errors(tmp_path):
     p = tmp_path / "x.gr"
     for body, what in [(b"abc", "short"), (struct.pack("<4Q", 2, 0, 1, 0), "version"), (struct.pack("<4Q", 1, 0, 3, 0), "row ends"), (struct.pack("<5Q", 1, 0, 1, 2, 2), "destinations"), (struct.pack("<5Q", 1, 4, 1, 1, 1) + b"\0\0\0\0", "weights")]:
