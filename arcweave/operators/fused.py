@@ -2,8 +2,10 @@
 
 Nodes are dealt into hash parts with their edges. A round lets every part relax
 its own frontier until nothing changes inside it, and only then sends candidates
-to other parts. Long paths inside a part cost one round. What a part holds is
-bounded by the number of parts, which the caller raises with the graph.
+to other parts. Long paths inside a part cost one round. The number of parts
+follows the number of edges, so a part holds some ``PART_EDGES`` of them. A round
+reads only the edges whose source is in the id range of its frontier; what is
+reached inside a part but outside that range is sent as to another part.
 """
 
 from __future__ import annotations
@@ -17,15 +19,16 @@ from pyspark.sql import functions as F
 
 from arcweave.graph import Graph
 from arcweave.operators.traversal import clamp_source
-from arcweave.runtime import materialize
+from arcweave.runtime import discard, materialize, materialize_counted
+
+PART_EDGES = 400_000
 
 
 def _relax(work: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """work(part, node, dist, fresh), edges(part, src, dst, weight, to): local distances and outgoing candidates."""
+    """work(part, node, dist, fresh), edges(src, dst, weight, stays): local distances and outgoing candidates."""
     empty = pd.DataFrame({"node": np.zeros(0, np.int64), "dist": np.zeros(0, np.int64), "kind": np.zeros(0, np.int32)})
     if not len(work):
         return empty
-    part = int(work["part"].iloc[0])
     dist: dict[int, int] = {}
     queue: list[tuple[int, int]] = []
     for n, v, fresh in zip(work["node"], work["dist"], work["fresh"], strict=True):
@@ -36,7 +39,7 @@ def _relax(work: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     before = dict(dist) if queue else {}
     edges = edges.sort_values("src", kind="stable")
     src = edges["src"].to_numpy()
-    dst, weight, to = edges["dst"].to_numpy(), edges["weight"].to_numpy(), edges["to"].to_numpy()
+    dst, weight, stays = edges["dst"].to_numpy(), edges["weight"].to_numpy(), edges["stays"].to_numpy()
     out: dict[int, int] = {}
     heapq.heapify(queue)
     moved = {n for _, n in queue}
@@ -47,7 +50,7 @@ def _relax(work: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         a, z = np.searchsorted(src, [n, n + 1])
         for i in range(a, z):
             c, t = v + int(weight[i]), int(dst[i])
-            if to[i] == part:
+            if stays[i]:
                 if c < dist.get(t, 1 << 62):
                     dist[t] = c
                     moved.add(t)
@@ -60,25 +63,33 @@ def _relax(work: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def sssp_fused(graph: Graph, source: int = 0, parts: int = 64, max_rounds: int = 10_000) -> DataFrame:
-    """(node, dist) as :func:`sssp` gives it."""
+    """(node, dist) as :func:`sssp` gives it; ``parts`` or, in a large graph, more."""
+    edges = graph.weights()
+    parts = max(parts, -(-edges.count() // PART_EDGES))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("long")
-    edges = graph.weights().select(part(F.col("src")).alias("part"), "src", "dst", "weight", part(F.col("dst")).alias("to")).repartition("part").persist()
+    edges = edges.select(part(F.col("src")).alias("part"), "src", "dst", "weight", part(F.col("dst")).alias("to")).repartition("part").sortWithinPartitions("part", "src").persist()
+    span = {"lo": F.min("node"), "hi": F.max("node")}
     frontier = graph.nodes.where(F.col("node") == clamp_source(graph, source)).select("node", F.lit(0).cast("long").alias("dist"))
-    frontier = materialize(frontier, "fused")
+    frontier, seen = materialize_counted(frontier, "fused", **span)
     state = frontier
     for _ in range(max_rounds):
-        if frontier.isEmpty():
+        if not seen["rows"]:
             break
-        old = state.join(frontier.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti").withColumn("fresh", F.lit(False))
+        inside = lambda c: F.col(c).between(seen["lo"], seen["hi"])  # noqa: B023, E731
+        old = state.where(inside("node")).join(frontier.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti").withColumn("fresh", F.lit(False))
         work = old.unionByName(frontier.withColumn("fresh", F.lit(True))).withColumn("part", part(F.col("node")))
-        done = materialize(work.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(_relax, "node long, dist long, kind int"), "fused")
-        state = materialize(state.unionByName(done.where("kind = 0").select("node", "dist")).groupBy("node").agg(F.min("dist").alias("dist")), "fused")
+        near = edges.where(inside("src")).select("part", "src", "dst", "weight", ((F.col("to") == F.col("part")) & inside("dst")).alias("stays"))
+        done = materialize(work.groupBy("part").cogroup(near.groupBy("part")).applyInPandas(_relax, "node long, dist long, kind int"), "fused")
+        known = materialize(state.unionByName(done.where("kind = 0").select("node", "dist")).groupBy("node").agg(F.min("dist").alias("dist")), "fused")
         cand = done.where("kind = 1").groupBy("node").agg(F.min("dist").alias("dist"))
-        known = state.select(F.col("node").alias("n"), F.col("dist").alias("old"))
-        frontier = materialize(cand.join(known, F.col("node") == F.col("n"), "left").where("old is null or dist < old").select("node", "dist"), "fused")
-        state = materialize(state.unionByName(frontier).groupBy("node").agg(F.min("dist").alias("dist")), "fused")
+        better = cand.join(known.select(F.col("node").alias("n"), F.col("dist").alias("old")), F.col("node") == F.col("n"), "left").where("old is null or dist < old")
+        discard(frontier if frontier is not state else None)
+        frontier, seen = materialize_counted(better.select("node", "dist"), "fused", **span)
+        after = materialize(known.unionByName(frontier).groupBy("node").agg(F.min("dist").alias("dist")), "fused")
+        discard(state, known, done)
+        state = after
     else:
-        if not frontier.isEmpty():
+        if seen["rows"]:
             edges.unpersist()
             raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
     edges.unpersist()
