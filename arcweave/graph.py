@@ -7,13 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.runtime import dealt
+
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes(node), edges(src, dst[, weight]); parallel edges and self loops are allowed."""
+    """nodes(node), edges(src, dst[, weight]); parallel edges and self loops are allowed.
+
+    ``rows``: edges there are at most, 0 if unknown. ``kept``: edges dealt and persisted for several loops.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    rows: int = 0
+    kept: DataFrame | None = None
 
     @property
     def weighted(self) -> bool:
@@ -41,11 +48,11 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
 
-def one_direction(edges: DataFrame, strict: bool = False) -> DataFrame:
-    """An undirected edge set stored once: ``strict`` keeps only rows with src <= dst, else ends are ordered and made distinct."""
+def one_direction(edges: DataFrame, strict: bool = False, rows: int = 0) -> DataFrame:
+    """An undirected edge set stored once: ``strict`` keeps only rows with src <= dst, else ends are ordered and made distinct; ``rows`` if known."""
     if strict:
         return edges.where("src <= dst")
-    return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return dealt(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], rows).distinct()
 
 
 def degrees(graph: Graph) -> DataFrame:

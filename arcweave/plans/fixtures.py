@@ -27,7 +27,8 @@ def g1(spark: SparkSession, sf_dir: str) -> Graph:
     a = orders.select((F.col("o_custkey") * 3).alias("src"), (F.col("o_orderkey") * 3 + 1).alias("dst"))
     b = lines.select((F.col("l_orderkey") * 3 + 1).alias("src"), (F.col("l_partkey") * 3 + 2).alias("dst"))
     nodes = _ids(table(spark, sf_dir, "customer"), "c_custkey", 3, 0).union(_ids(orders, "o_orderkey", 3, 1)).union(_ids(table(spark, sf_dir, "part"), "p_partkey", 3, 2))
-    return Graph(nodes, undirected(a.union(b).distinct()))
+    rows = orders.count() + lines.count()
+    return Graph(nodes, undirected(dealt(a.union(b), ["src", "dst"], rows).distinct()), 2 * rows)
 
 
 G1 = """e as (select 3 * o_custkey as a, 3 * o_orderkey + 1 as b from orders union select 3 * l_orderkey + 1, 3 * l_partkey + 2 from lineitem),
@@ -56,7 +57,7 @@ def g3(spark: SparkSession, sf_dir: str) -> Graph:
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type")
     nxt = with_next(events, ["ts", "event_id"], "user_id", "dst")
     e = nxt.where("dst is not null and event_type in ('click', 'purchase') and user_id % 10 <> 0").select(F.col("user_id").alias("src"), "dst").distinct()
-    return Graph(events.select(F.col("user_id").alias("node")).distinct(), e)
+    return Graph(materialize(events.select(F.col("user_id").alias("node")).distinct(), "nodes"), materialize(e, "edges"))
 
 
 G3 = """ev as (select user_id, event_type, lead(user_id) over (order by ts, event_id) as nxt from events),

@@ -218,3 +218,42 @@ def test_id_filter_never_misses(spark):
     assert sum(m for k, m in got) < 4400  # few others
     crowded = may_hold(rows, "key", id_filter(ids, rows=1), "may", rows=1)
     assert crowded.where("not may and key is not null and key % 7 = 0").count() == 0
+
+
+def test_parts_of_fused_distances_follow_the_edges(spark, monkeypatch):
+    """No part gets more edges than it may hold by number, and edges outside the frontier's range are not read."""
+    from arcweave.operators import fused
+
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(300), rnd.randrange(300), rnd.randrange(1, 9)) for _ in range(900)]
+    edges += [(a + 10_000, b + 10_000, w) for a, b, w in edges]  # never reached
+    g = build(spark, sorted({n for a, b, _ in edges for n in (a, b)}), edges)
+    folder, relax = fused.materialize, []
+    monkeypatch.setattr(fused, "PART_EDGES", 100)
+
+    def seen(df, name):
+        relax.extend(m for m in df._jdf.queryExecution().toString().splitlines() if "InMemoryTableScan" in m and "10000" not in m)
+        parts.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return folder(df, name)
+
+    parts = []
+    monkeypatch.setattr(fused, "materialize", seen)
+    want = oracles.dijkstra(edges, 0)
+    got = values(sssp_fused(g, 0, parts=2))
+    assert {n: v for n, v in got.items() if v is not None} == want
+    assert any("pmod(xxhash64(node" in p and ", 18)" in p for p in parts) and relax
+
+
+def test_tasks_of_a_grouping_follow_the_rows(spark, data, monkeypatch):
+    """Distinct edges, in one direction too, are dealt to more tasks where there are more rows; small tables stay as Spark deals them."""
+    from arcweave import runtime
+    from arcweave.plans import catalog, fixtures
+
+    few = fixtures.g1(spark, data)
+    assert "REPARTITION_BY_NUM" not in few.edges._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(runtime, "TASK_ROWS", 500)
+    g = fixtures.g1(spark, data)
+    assert g.rows == 2 * 7500 and g.edges.count() == few.edges.count()
+    for df, n in ((g.edges, 15), (catalog.q_undirected_dedup(spark, data), 30), (catalog.q_degree(spark, data), 15), (catalog.q_halos(spark, data), 15)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f"{n}), REPARTITION_BY_NUM" in plan
