@@ -275,7 +275,8 @@ def q_relabel(spark, d):
 
 @query(f"with {G1} select distinct least(src, dst) as src, greatest(src, dst) as dst from g")
 def q_undirected_dedup(spark, d):
-    return one_direction(g1(spark, d).edges)
+    g = g1(spark, d)
+    return one_direction(g.edges, rows=g.rows)
 
 
 @query(f"with {G3} select src, dst from g where src <= dst")
