@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.graph import Graph
-from arcweave.plans.fixpoint import FixpointSpec, Stop, fixpoint
+from arcweave.plans.fixpoint import FixpointSpec, Stop, deal, fixpoint
 
 BFS = FixpointSpec(expand=lambda v, w: v + 1, name="bfs")
 SSSP = FixpointSpec(expand=lambda v, w: v + w, name="sssp")
@@ -14,6 +18,16 @@ NEAR_FAR_DELTA = 10_000
 PRIORITY_DELTA = 10
 
 
+@contextmanager
+def kept_edges(graph: Graph) -> Iterator[Graph]:
+    """The graph with its edges dealt once, for several traversals. Levels need a graph without weights."""
+    kept = deal(graph.weights())
+    try:
+        yield replace(graph, kept=kept)
+    finally:
+        kept.unpersist()
+
+
 def clamp_source(graph: Graph, source: int) -> int:
     """The source moved into the range of node ids."""
     r = graph.nodes.agg(F.min("node").alias("lo"), F.max("node").alias("hi")).first()
@@ -32,7 +46,7 @@ def _all_nodes(graph: Graph, reached: DataFrame, name: str) -> DataFrame:
 def bfs(graph: Graph, source: int = 0, stop: Stop | None = None, delta: int | None = None, metrics: list | None = None) -> DataFrame:
     """(node, level) of all nodes over directed edges; level is NULL where unreachable."""
     edges = graph.edges.select("src", "dst", F.lit(1).cast("long").alias("weight"))
-    return _all_nodes(graph, fixpoint(BFS, edges, _seed(graph, clamp_source(graph, source)), stop, delta, metrics=metrics), "level")
+    return _all_nodes(graph, fixpoint(BFS, edges, _seed(graph, clamp_source(graph, source)), stop, delta, metrics=metrics, kept=graph.kept), "level")
 
 
 def sssp(graph: Graph, source: int = 0, stop: Stop | None = None, delta: int | None = None, metrics: list | None = None) -> DataFrame:
@@ -40,7 +54,7 @@ def sssp(graph: Graph, source: int = 0, stop: Stop | None = None, delta: int | N
 
     ``delta`` turns on bucket order: NEAR_FAR_DELTA for near-far, PRIORITY_DELTA for soft priority.
     """
-    return _all_nodes(graph, fixpoint(SSSP, graph.weights(), _seed(graph, clamp_source(graph, source)), stop, delta, metrics=metrics), "dist")
+    return _all_nodes(graph, fixpoint(SSSP, graph.weights(), _seed(graph, clamp_source(graph, source)), stop, delta, metrics=metrics, kept=graph.kept), "dist")
 
 
 def sssp_near_far(graph: Graph, source: int = 0, delta: int = NEAR_FAR_DELTA, **options) -> DataFrame:

@@ -257,3 +257,19 @@ def test_tasks_of_a_grouping_follow_the_rows(spark, data, monkeypatch):
     for df, n in ((g.edges, 15), (catalog.q_undirected_dedup(spark, data), 30), (catalog.q_degree(spark, data), 15), (catalog.q_halos(spark, data), 15)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert f"{n}), REPARTITION_BY_NUM" in plan
+
+
+def test_loops_deal_edges_once_and_open_few_files(small, monkeypatch):
+    """Two traversals share one dealing of the edges; a small frontier is expanded in few tasks and reads only its range of ids."""
+    from arcweave.plans import fixpoint as fx
+
+    nodes, edges, g = small
+    g = Graph(g.nodes, g.edges.select("src", "dst"))
+    calls, plans, write = [], [], fx.materialize_counted
+    monkeypatch.setattr(tv, "deal", lambda e: calls.append(1) or fx.deal(e))
+    monkeypatch.setattr(fx, "materialize_counted", lambda df, *a, **b: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a, **b))
+    with tv.kept_edges(g) as kept:
+        a, b = values(tv.bfs(kept, 0)), values(tv.sssp_priority(kept, 0, delta=2))
+    want = oracles.bfs([e[:2] for e in edges], 0)
+    assert a == b == {n: want.get(n) for n in nodes} and len(calls) == 1
+    assert "Repartition 8, false" in plans[1] and "src" in plans[1] and ">= 0" in plans[1]
