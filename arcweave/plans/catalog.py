@@ -17,7 +17,6 @@ from arcweave.operators import partition as pt
 from arcweave.operators import routing as rt
 from arcweave.operators import traversal as tv
 from arcweave.operators import verify as vf
-from arcweave.operators.host import host_ranks
 from arcweave.plans.fixtures import G1, G2, G3, G4, g1, g2, g2_pairs, g3, g4, g4_edges, table
 from arcweave.runtime import materialize, shared_file
 from arcweave.schema import INF
@@ -527,10 +526,10 @@ def q_verify_levels(spark, d):
 
 @query("select 'as computed' as case, cast(0 as bigint) as diffs, true as ok union all select 'with errors', 10, false")
 def q_verify_ranks(spark, d):
-    """Ranks by synchronous rounds against one-at-a-time pushes on the driver, as computed and doubled."""
+    """Ranks by synchronous rounds of residuals against multiplications with the whole link matrix, as computed and doubled."""
     g = g3(spark, d)
     ranks = materialize(pr.pagerank(g, epsilon=1e-4), "ranks")
-    other = host_ranks(g, epsilon=1e-4)
+    other = pr.power_ranks(g, epsilon=1e-4)
     named = lambda df, name: vf.compare_ranks(df, other).select(F.lit(name).alias("case"), "diffs", "ok")
     return named(ranks, "as computed").unionByName(named(ranks.withColumn("rank", F.col("rank") * 2), "with errors"))
 

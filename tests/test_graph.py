@@ -273,3 +273,16 @@ def test_loops_deal_edges_once_and_open_few_files(small, monkeypatch):
     want = oracles.bfs([e[:2] for e in edges], 0)
     assert a == b == {n: want.get(n) for n in nodes} and len(calls) == 1
     assert "Repartition 8, false" in plans[1] and "src" in plans[1] and ">= 0" in plans[1]
+
+
+def test_power_ranks(spark, small, data, monkeypatch):
+    """The second algorithm of the check of ranks agrees with plain rounds and has no limit of edges."""
+    from arcweave.operators import host
+    from arcweave.plans import catalog
+
+    nodes, edges, g = small
+    want = oracles.pagerank(nodes, [e[:2] for e in edges], eps=1e-9, cap=2000)
+    got = values(pr.power_ranks(g, epsilon=1e-7))
+    assert set(got) == set(nodes) and all(abs(got[n] - want[n]) < 1e-5 for n in want)
+    monkeypatch.setattr(host, "HOST_EDGES", 0)
+    assert sorted((r.case, r.diffs, r.ok) for r in catalog.q_verify_ranks(spark, data).collect()) == [("as computed", 0, True), ("with errors", 10, False)]
